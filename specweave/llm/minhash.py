@@ -7,9 +7,9 @@ candidate pairs; a pair is linked only by exact Jaccard on full shingle sets.
 
 Equal sets are folded into one class first, so copies cost nothing later.  In
 a bucket all classes are compared with the least one (a star, not all pairs).
-Only where that leaves a bucket in several components, classes of different
-components are compared too, until no such pair is left untested: a link
-inside a component can't change the result, a link across one is never missed.
+Where that leaves a bucket in several components, its classes go through an
+exact prefix and positional join that finds every link between different
+components; links inside a component can't change the result.
 
 Defined cases: a null or blank text has no shingles and no links; a text of
 fewer than ``k`` words has one shingle, the whole sequence; rows repeated with
@@ -124,6 +124,50 @@ def shingle_table(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls binary, shingles binary")
 
 
+#: Counters of the sketch that puts rare shingles first; any counts give right results.
+SKETCH = 1 << 20
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """Counts of shingles, folded to ``SKETCH`` counters whatever the input."""
+
+    def count(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles"):
+                np.add.at(total, (np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["slot", "n"])
+
+    got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SKETCH, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(c, root, n, pos, shingle): the rarest shingles of (c, root, n, shingles), as many as a link must touch."""
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def run(batches):
+        count = rarity.value
+        for batch in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for c, root, s in zip(batch.column("c").to_pylist(), batch.column("root").to_pylist(), batch.column("shingles")):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                n = len(s)
+                most = n - -(-n * percent // 100) + 1
+                first = s[np.lexsort((s, count[(s % np.uint64(SKETCH)).astype(np.int64)]))[:most]]
+                for col, values in zip(cols, (np.full(len(first), c), np.full(len(first), root), np.full(len(first), n), np.arange(len(first)), first.view(np.int64))):
+                    col.append(values)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in cols], ["c", "root", "n", "pos", "shingle"])
+
+    return sets.select("c", "root", "shingles").mapInArrow(run, "c long, root long, n long, pos long, shingle long")
+
+
 def overlap_table(pairs: DataFrame) -> DataFrame:
     """(a, b, inter, total) of (a, b, sa, sb): exact sizes of intersection and union."""
 
@@ -178,13 +222,27 @@ class NearDuplicates:
         left = shared.select("key", "c").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         left = staged(left.join(self.classes.select("c", "n"), "c"), "members")
         several = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = staged(left.join(several, "key"), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * self.percent
-        across = x.join(y, F.expr("x.key = y.key and x.c < y.c and x.root <> y.root")).where(fits)
-        pairs = across.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        open_ = left.join(several, "key").select("c", "n", "root").distinct()
+        pairs = self._across(open_, sets).join(star, ["a", "b"], "left_anti")
         return staged(links.unionByName(self._verified(pairs, sets)), "links")
 
+    def _across(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of open classes in different components that may be linked.
+
+        Exact prefix, length and positional filters: with each set in one global order,
+        rare shingles first, the first shingle that two linked sets share stands so early
+        in both that what follows can still make up the intersection they need.
+        """
+        own = staged(open_.join(sets, "c"), "open")
+        front = staged(prefixes(own, self.percent), "prefixes")
+        # in each shingle's list the largest component needs no comparison with itself
+        main = front.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.count("*").alias("roots"), F.max_by("root", "m").alias("main"))
+        rows = front.join(main.where("roots > 1").select("shingle", "main"), "shingle")
+        x, y = rows.where("root <> main").alias("x"), rows.alias("y")
+        fits = f"least(x.n - x.pos, y.n - y.pos) * {100 + self.percent} >= {self.percent} * (x.n + y.n)"
+        met = x.join(y, F.expr(f"x.shingle = y.shingle and x.root <> y.root and {fits}"))
+        return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
     def _sets_of(self, wanted: DataFrame) -> DataFrame:
         """(c, shingles) of the classes in ``wanted``, made anew from the texts of their least documents."""
         reps = staged(wanted.join(self.classes.select("c", "cls", "rep"), "c").select("c", "cls", F.xxhash64("rep").alias("h")), "reps")
