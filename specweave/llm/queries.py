@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .minhash import op6_minhash
+from .urlfilter import OP3_SQL, op3_url_filter
+from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
-    return {"op6_minhash": op6_minhash}
+    return {"op1_warc": op1_warc, "op3_url_filter": op3_url_filter, "op6_minhash": op6_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op3_url_filter": OP3_SQL}
