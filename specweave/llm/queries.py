@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from .idfiles import op9_ids
+from .langid import op5_language
 from .minhash import op6_minhash
+from .packing import op10_packing
+from .quality import op4_quality
 from .urlfilter import OP3_SQL, op3_url_filter
 from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op3_url_filter": op3_url_filter, "op6_minhash": op6_minhash}
+    found = (op1_warc, op3_url_filter, op4_quality, op5_language, op6_minhash, op9_ids, op10_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
