@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bytewords import NOT_SPACE, chunks, text_bytes, words_of
 from .common import held_out, staged, table
 
-FEATURES = ("log_words", "word_bytes", "upper", "digits", "stops", "symbols", "new_lines", "repeats", "variety", "wide")
+FEATURES = ("word_bytes", "upper", "digits", "stops", "symbols", "new_lines", "repeats", "variety", "wide")
 
 _CLASSES = np.zeros(256, np.uint8)
 _CLASSES[65:91] = 1
@@ -37,9 +37,14 @@ _CLASSES[10] = 6
 _CLASSES[128:] = 7
 
 
-def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Variance-stabilised share, 0 to pi / 2; small texts lean to 0."""
-    return np.arcsin(np.sqrt(np.clip(part / np.maximum(whole + 2.0, 1.0), 0.0, 1.0)))
+#: Signs, and words, of common prose that every text is read with: a short text has no extreme shares by chance.
+BACKGROUND = 60.0
+BACKGROUND_WORDS = 20.0
+
+
+def _share(part: np.ndarray, whole: np.ndarray, usual: float, more: float = BACKGROUND) -> np.ndarray:
+    """Variance-stabilised share, 0 to pi / 2, with ``more`` signs of the usual share added."""
+    return np.arcsin(np.sqrt(np.clip((part + usual * more) / (whole + more), 0.0, 1.0)))
 
 
 def _of_chunk(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -65,16 +70,16 @@ def _of_chunk(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.nda
     repeats = same[words.at[1:]] - same[words.at[:-1]]
     kinds_of = np.array([len(np.unique(words.hash[words.at[i] : words.at[i + 1]])) for i in range(hi - lo)], float)
     out = np.empty((hi - lo, len(FEATURES)))
-    out[:, 0] = np.log1p(n_words)
-    out[:, 1] = np.log1p(n_bytes / np.maximum(n_words, 1.0))
-    out[:, 2] = _share(upper, upper + lower)
-    out[:, 3] = _share(digits, n_bytes)
-    out[:, 4] = _share(stops, n_bytes)
-    out[:, 5] = _share(symbols, n_bytes)
-    out[:, 6] = _share(lines, n_words)
-    out[:, 7] = _share(repeats, n_words)
-    out[:, 8] = np.log1p(kinds_of) / np.log1p(np.maximum(n_words, 1.0))
-    out[:, 9] = _share(wide, n_bytes)
+    more = BACKGROUND_WORDS
+    out[:, 0] = np.log((n_bytes + 6.0 * more) / (n_words + more))
+    out[:, 1] = _share(upper, upper + lower, 0.03)
+    out[:, 2] = _share(digits, n_bytes, 0.002)
+    out[:, 3] = _share(stops, n_bytes, 0.03)
+    out[:, 4] = _share(symbols, n_bytes, 0.0)
+    out[:, 5] = _share(lines, n_words, 0.02, more)
+    out[:, 6] = _share(repeats, n_words, 0.0, more)
+    out[:, 7] = np.log(kinds_of + more) / np.log(n_words + more)
+    out[:, 8] = _share(wide, n_bytes, 0.03)
     return out
 
 
