@@ -15,28 +15,36 @@ import numpy as np
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 FIRST = 2
-BLOCK = 1024
+BLOCK = 256
 _MASK = np.uint64((1 << 60) - 1)
 
 
+def _classes(v: np.ndarray) -> np.ndarray:
+    """Index of the least width that holds each id; one more than all for escapes."""
+    if len(v) and int(v.max()) < len(_SMALL):
+        return _SMALL[v.astype(np.int64)]
+    return np.searchsorted(_LIMITS, v, "right").astype(np.uint8)
+
+
+_LIMITS = np.array([1 << w for w in WIDTHS], np.uint64)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
+
+
 def _choices(v: np.ndarray) -> np.ndarray:
-    """At each place the best selector for the ids from there on."""
+    """At each place the selector that takes the most ids from there on."""
     n = len(v)
+    need = _classes(v)
     choice = np.full(n, FIRST + len(COUNTS) - 1, np.uint8)
-    top = int(v.max()) if n else 0
-    low = int(v.min()) if n else 0
-    for k in range(len(COUNTS) - 2, -1, -1):
-        count, width = COUNTS[k], WIDTHS[k]
-        if low >> width or count > n:
+    least = int(need.min()) if n else 0
+    widest, size = need, 1  # widest class among the ``size`` ids from each place on
+    for k in range(len(COUNTS) - 2, least - 1, -1):
+        count = COUNTS[k]
+        if count > n:
             break
-        m = n - count + 1
-        if top >> width:
-            wide = np.zeros(n + 1, np.int32)
-            np.cumsum(v >> np.uint64(width) != 0, out=wide[1:])
-            choice[:m][wide[count:] == wide[:m]] = FIRST + k
-        else:
-            choice[:m] = FIRST + k
-    choice[v > _MASK] = 0
+        widest = np.maximum(widest[: n - count + 1], widest[count - size :][: n - count + 1])
+        size = count
+        np.copyto(choice[: n - count + 1], FIRST + k, where=widest <= k)
+    choice[need == len(WIDTHS)] = 0
     return choice
 
 

@@ -16,6 +16,8 @@ from array import array
 
 _ODD_SPACE = re.compile(r" \s|\s |^ | \Z")
 _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: ASCII punctuation: after a word it is one run for both tokenizers.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 #: Pieces kept by a worker; the table starts anew beyond it.
 KEPT = 500_000
 
@@ -59,7 +61,9 @@ class Encoder:
         self.lower = whole("A") == whole("a")
         self.space = _ALPHABET[32] if self.lead else ""
         self.seen: dict[str, bytes] = {}
-        probes = ["the", "Word", "été", "lügen", "ñandú", "ends.", "Comma,", "straße.", "ÀÉÎ"]
+        self.runs: dict[str, bytes] = {"": b""}
+        self.line_end = array("I", whole("\n")).tobytes()
+        probes = ["the", "Word", "été", "lügen", "ñandú", "ends.", "Comma,", "straße.", "ÀÉÎ", "a***", "b!!", "end.\nNext", "x\ny,\nz%%%", "it'", "a...,"]
         self.direct = True
         self.direct = all(self._plain(p) == array("I", whole(" " + p)).tobytes() for p in probes)
 
@@ -70,10 +74,9 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _plain(self, piece: str) -> bytes | None:
-        """Ids of a space and a plain word; None if it isn't one."""
-        word, stop = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-        if not self.direct or not word.isalpha():
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """Ids of a plain Latin word after ``lead``; None for other texts."""
+        if not word.isalpha():
             return None
         if self.lower:
             word = word.lower()
@@ -81,10 +84,39 @@ class Encoder:
             if max(word) >= "Ā" or not word.isalpha():
                 return None
             word = word.encode().decode("latin-1").translate(_ALPHABET)
-        ids = [t.id for t in self.model.tokenize(self.space + word)]
-        if stop:
-            ids += [t.id for t in self.model.tokenize(stop)]
-        return array("I", ids).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        """Ids of a run of ASCII punctuation that follows a word."""
+        if marks not in self.runs:
+            if len(self.runs) > 10_000:
+                self.runs = {"": b""}
+            self.runs[marks] = array("I", [t.id for t in self.model.tokenize(marks)]).tobytes()
+        return self.runs[marks]
+
+    def _plain(self, piece: str) -> bytes | None:
+        """Ids of a space and ``piece``, if that is words and trailing punctuation with single line ends between; else None."""
+        if not self.direct:
+            return None
+        piece, *more = piece.split("\n")
+        word = piece.rstrip(_MARKS)
+        ids = self.seen.get(word)
+        if ids is None:
+            ids = self._word(word, self.space)
+            if ids is None:
+                return None
+            self.seen[word] = ids
+        elif not word:
+            return None
+        if len(word) < len(piece):
+            ids += self._marks(piece[len(word) :])
+        for piece in more:
+            word = piece.rstrip(_MARKS)
+            own = self._word(word, "")
+            if own is None:
+                return None
+            ids += self.line_end + own + self._marks(piece[len(word) :])
+        return ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
