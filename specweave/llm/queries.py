@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .idfiles import op9_ids
 from .langid import op5_language
 from .licenses import OP7_SQL, op7_licenses
@@ -14,7 +15,7 @@ from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict:
-    found = (op1_warc, op3_url_filter, op4_quality, op5_language, op6_minhash, op7_licenses, op8_topk, op9_ids, op10_packing)
+    found = (op1_warc, op2_decontaminate, op3_url_filter, op4_quality, op5_language, op6_minhash, op7_licenses, op8_topk, op9_ids, op10_packing)
     return {f.__name__: f for f in found}
 
 
