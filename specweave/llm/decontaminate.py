@@ -41,9 +41,11 @@ OVERSAMPLE = 8
 SAMPLE = 1500
 WINDOW = 32
 COSINE = 0.45
+#: Least share of an item's TF-IDF weight in a window that is verified.
+LEXICAL = 0.35
 COPY = 0.8
 PARAPHRASE = 0.6
-ITEM_BLOCK = 4096
+ITEM_BLOCK = 1024
 SHORT = 5
 _SENTENCE = re.compile(r"[.!?]+\s+")
 
@@ -186,55 +188,86 @@ class Item:
 
 
 class LatentIndex:
-    """Word vectors of the latent space and the items in it, by window width."""
+    """Word vectors of the latent space and the items in it, by window width.
+
+    Windows start at every fourth word at most; sums of four words carry all of them.
+    """
 
     def __init__(self, items: list[Item], idf: np.ndarray, values: np.ndarray, right: np.ndarray, cosine: float = COSINE):
         self.items = [i for i in items if i.n]
         self.cosine = cosine
-        self.words = (idf[:, None] * right / np.maximum(values, 1e-9)).astype(np.float32) if len(values) else np.zeros((SLOTS, 1), np.float32)
+        self.idf = np.append(idf, 0.0).astype(np.float32)
+        rank = max(1, len(values))
+        # one more slot, of zeros, fills texts up to whole fours
+        self.words = np.zeros((rank, SLOTS + 1), np.float32)
+        if len(values):
+            self.words[:, :SLOTS] = (idf[:, None] * right / np.maximum(values, 1e-9)).T
+        self.held = np.zeros((len(self.items), SLOTS + 1), bool)
+        for k, i in enumerate(self.items):
+            self.held[k, slots_of(i.words)] = True
+        self.weight = np.array([self.idf[slots_of(i.words)].sum() for i in self.items], np.float32)
         self.scales: list[tuple[int, np.ndarray, np.ndarray]] = []
         widths = np.array([max(4, 1 << round(float(np.log2(i.n)))) for i in self.items], int)
         for width in sorted(set(widths.tolist())):
             own = np.flatnonzero(widths == width)
-            x = np.array([self.words[slots_of(self.items[k].words)].sum(axis=0) for k in own])
+            x = np.array([self.words[:, slots_of(self.items[k].words)].sum(axis=1) for k in own])
             self.scales.append((width, own, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)))
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray):
-        """(text, item, first word, width, cosine) of all windows near an item; texts have words at[i] to at[i + 1]."""
-        total = np.zeros((len(hashes) + 1, self.words.shape[1]), np.float64)
-        np.cumsum(self.words[slots_of(hashes)], axis=0, dtype=np.float64, out=total[1:])
+        """Arrays (text, item, first word in the text, width, cosine) of windows near an item.
+
+        Near: by cosine in the latent space, and then by the share of the item's
+        TF-IDF weight that the window's words hold.  Texts have words at[i] to at[i + 1].
+        """
         size = np.diff(at)
+        fours = -(-size // 4)
+        base = np.concatenate(([0], np.cumsum(fours)))
+        slots = np.full(4 * base[-1], SLOTS, np.int64)
+        slots[np.arange(len(hashes)) + np.repeat(4 * base[:-1] - at[:-1], size)] = slots_of(hashes)
+        sums = self.words[:, slots].reshape(len(self.words), -1, 4).sum(axis=2)
+        total = np.zeros((len(self.words), base[-1] + 1))
+        np.cumsum(sums, axis=1, out=total[:, 1:])
         for width, own, items in self.scales:
-            step = max(1, width // 4)
-            # windows every step words and one at the text's end
-            count = np.where(size > width, -(-(size - width) // step) + 1, (size > 0).astype(int))
+            step, wide = max(1, width // 16), width // 4
+            # windows every step fours and one at the text's end
+            count = np.where(fours > wide, -(-(fours - wide) // step) + 1, (fours > 0).astype(int))
             text = np.repeat(np.arange(len(size)), count)
             nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-            start = at[:-1][text] + np.minimum(nth * step, np.maximum(size[text] - width, 0))
-            end = np.minimum(start + width, at[1:][text])
+            start = base[:-1][text] + np.minimum(nth * step, np.maximum(fours[text] - wide, 0))
+            end = np.minimum(start + wide, base[1:][text])
+            inside = np.arange(width)
             for lo in range(0, len(start), 8192):
                 part = slice(lo, lo + 8192)
-                x = (total[end[part]] - total[start[part]]).astype(np.float32)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                x = (total[:, end[part]] - total[:, start[part]]).astype(np.float32)
+                x /= np.maximum(np.sqrt((x * x).sum(axis=0)), 1e-9)
                 for b in range(0, len(items), 1024):
-                    cosine = x @ items[b : b + 1024].T
-                    i, k = np.nonzero(cosine >= self.cosine)
-                    for r, c in zip(i.tolist(), k.tolist()):
-                        yield int(text[lo + r]), int(own[b + c]), int(start[lo + r]), width, float(cosine[r, c])
+                    cosine = items[b : b + 1024] @ x
+                    k, i = np.nonzero(cosine >= self.cosine)
+                    for c in range(0, len(k), 1 << 15):
+                        kk, ii = k[c : c + (1 << 15)], i[c : c + (1 << 15)]
+                        item, first = own[b + kk], start[lo + ii]
+                        words = slots[np.minimum(4 * first[:, None] + inside, len(slots) - 1)]
+                        words[inside[None, :] >= 4 * (end[lo + ii] - first)[:, None]] = SLOTS
+                        share = (self.held[item[:, None], words] * self.idf[words]).sum(axis=1)
+                        good = share >= LEXICAL * self.weight[item]
+                        if good.any():
+                            t = text[lo + ii[good]]
+                            yield t, item[good], 4 * (first[good] - base[t]), width, cosine[kk[good], ii[good]]
 
     def leaks(self, hashes: np.ndarray, at: np.ndarray):
-        """(text, item, first word in the text, common words, kind, cosine): the nearest verified window of each pair."""
+        """(text, item, first word of the region, common words, kind, cosine): the nearest verified window of each pair."""
         by_pair: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for text, k, start, width, cosine in self.candidates(hashes, at):
-            by_pair.setdefault((text, k), []).append((-cosine, start, width))
+        for text, item, start, width, cosine in self.candidates(hashes, at):
+            for t, k, s, c in zip(text.tolist(), item.tolist(), start.tolist(), cosine.tolist()):
+                by_pair.setdefault((t, k), []).append((-c, s, width))
         for (text, k), windows in sorted(by_pair.items()):
-            item = self.items[k]
+            item, n = self.items[k], int(at[text + 1] - at[text])
             for cosine, start, width in sorted(windows):
                 more = item.n // 2 + width // 4
-                lo, hi = max(int(at[text]), start - more), min(int(at[text + 1]), start + width + more)
-                found = item.leak(hashes[lo:hi])
+                lo, hi = max(0, start - more), min(n, start + width + more)
+                found = item.leak(hashes[at[text] + lo : at[text] + hi])
                 if found:
-                    yield text, item, lo - int(at[text]), found[1], found[0], -cosine
+                    yield text, item, lo, found[1], found[0], -cosine
                     break
 
 
