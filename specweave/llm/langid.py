@@ -179,6 +179,18 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, in a learned language (or one of ``languages``) with score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def run(batches):
+        for batch in batches:
+            both = [shared.value.predict(t.as_py()) for t in batch.column("text")]
+            yield batch.filter(pa.array([name != UND and score >= least and (languages is None or name in languages) for name, score in both], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs))

@@ -87,7 +87,7 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, keys) for each row; cls and keys are null without words."""
+    """(doc_id, h, n_shingles, cls, keys) for each row; h is the text's hash, cls and keys are null without words."""
 
     def run(batches):
         for batch in batches:
@@ -105,12 +105,11 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 cls.append(c)
                 keys.append(memo[c])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "cls", "keys"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "h", "n_shingles", "cls", "keys"],
             )
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_.mapInArrow(run, "doc_id long, n_shingles long, cls binary, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n_shingles long, cls binary, keys array<long>")
 
 
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
@@ -258,15 +257,42 @@ class NearDuplicates:
         both = with_b.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
         return overlap_table(both).where(_linked(self.percent)).select("a", "b").distinct()
 
-    def components(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, kept) for each row of the input."""
+    def named_classes(self) -> DataFrame:
+        """(cls, component_id) of all classes."""
         roots = connected_components(self.links).select(F.col("node").alias("c"), "root")
         of = self.classes.select("c", "cls", "rep").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = of.join(least, "root").select("cls", "component_id")
+        return of.join(least, "root").select("cls", "component_id")
+
+    def members(self) -> DataFrame:
+        """(doc_id, h, n_shingles, cls, component_id, kept) for each row of the input."""
         own = F.coalesce("component_id", "doc_id")
-        out = self.rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-        return out.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+        out = self.rows.join(self.named_classes(), "cls", "left")
+        return out.select("doc_id", "h", "n_shingles", "cls", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+    def components(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id, kept) for each row of the input."""
+        return self.members().select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one document of each component; of rows repeated whole, one.
+
+    Only rows that a bounded Bloom filter can't clear are shuffled.
+    """
+    rows = NearDuplicates(docs, k, percent).members().where("cls is not null")
+    marks = rows.groupBy("doc_id", "h").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    marks = staged(marks.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "stays", F.xxhash64("doc_id", "h").alias("__key")), "marks")
+    n = bloom.blocks_for(marks.count())
+    own = docs.withColumn("__t", F.xxhash64(F.col("text").cast("string"))).withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), "__t"))
+    tried = bloom.probe(own, "__k", bloom.build(marks, "__key", n), n, "__maybe")
+    clear = tried.where("not __maybe").select(*docs.columns)
+    named = marks.select("__d", "__h", F.col("__key").alias("__k"), F.col("stays").alias("__stays"))
+    rest = tried.where("__maybe").join(named, "__k", "left")
+    same = F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__t"))
+    alone = rest.where(F.col("__stays").isNull()).select(*docs.columns)
+    once = rest.where(F.col("__stays") & same).dropDuplicates(["__k", "__t"]).select(*docs.columns)
+    return clear.unionByName(alone).unionByName(once)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -186,5 +186,17 @@ class QualityClassifier:
         return self.features.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``least`` or more; learnt from ``labels`` of rows that aren't held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
+    model = Discriminant.fit(moments(feature_table(docs).where("not held_out").join(known, "doc_id").select("quality", "x")))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(text_features(batch.column("text"))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).scores()
