@@ -19,7 +19,7 @@ _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 #: ASCII punctuation: after a word it is one run for both tokenizers.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 #: Pieces kept by a worker; the table starts anew beyond it.
-KEPT = 500_000
+KEPT = 1_200_000
 
 #: Byte-level alphabet: printable Latin-1 characters stand for their bytes, the other bytes for characters from U+0100.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -76,12 +76,12 @@ class Encoder:
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of a plain Latin word after ``lead``; None for other texts."""
-        if not word.isalpha():
-            return None
         if self.lower:
             word = word.lower()
+        if not word.isalpha():
+            return None
         if not word.isascii():
-            if max(word) >= "Ā" or not word.isalpha():
+            if max(word) >= "Ā":
                 return None
             word = word.encode().decode("latin-1").translate(_ALPHABET)
         return array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
@@ -145,8 +145,9 @@ class Encoder:
                 cut.append((i, rest))
                 new.update(set(rest).difference(seen))
         hard = []
+        word, plain, space, direct = self._word, self._plain, self.space, self.direct
         for piece in new:
-            ids = self._plain(piece)
+            ids = word(piece, space) if direct and piece.isalpha() else plain(piece)
             if ids is None:
                 hard.append(piece)
             else:
