@@ -19,7 +19,7 @@ _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 #: ASCII punctuation: after a word it is one run for both tokenizers.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 #: Pieces kept by a worker; the table starts anew beyond it.
-KEPT = 1_200_000
+KEPT = 900_000
 
 #: Byte-level alphabet: printable Latin-1 characters stand for their bytes, the other bytes for characters from U+0100.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
