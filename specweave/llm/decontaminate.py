@@ -120,6 +120,7 @@ def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray, width: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(rows[:, j]) for j in range(l))], ["slot", *cols])
 
     got = texts.mapInArrow(run, "slot long, " + ", ".join(f"{c} double" for c in cols)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
+    shared.destroy()
     keys = got.column("slot").to_numpy()
     rows = np.stack([got.column(c).to_numpy() for c in cols], axis=1) if len(keys) else np.zeros((0, l))
     gram, back = np.zeros((l, l)), np.zeros((SLOTS, l))

@@ -164,7 +164,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in cols], ["c", "root", "n", "pos", "shingle"])
 
-    return sets.select("c", "root", "shingles").mapInArrow(run, "c long, root long, n long, pos long, shingle long")
+    out = staged(sets.select("c", "root", "shingles").mapInArrow(run, "c long, root long, n long, pos long, shingle long"), "prefixes")
+    rarity.destroy()
+    return out
 
 
 def overlap_table(pairs: DataFrame) -> DataFrame:
@@ -233,7 +235,7 @@ class NearDuplicates:
         in both that what follows can still make up the intersection they need.
         """
         own = staged(open_.join(sets, "c"), "open")
-        front = staged(prefixes(own, self.percent), "prefixes")
+        front = prefixes(own, self.percent)
         # in each shingle's list the largest component needs no comparison with itself
         main = front.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.count("*").alias("roots"), F.max_by("root", "m").alias("main"))
         rows = front.join(main.where("roots > 1").select("shingle", "main"), "shingle")

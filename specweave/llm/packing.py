@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Encoder, default_path
+from .tokens import KEPT, Encoder, default_path
 
 LONGEST = 2048
 END_ID = 1
@@ -36,7 +36,7 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * whole + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int = END_ID, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int = END_ID, ids: bool = True, kept: int = KEPT) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids) for each piece.
 
     The length is the bucket.  ``sequence_id`` is the task's number and a count within it.
@@ -47,7 +47,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        coder = Encoder.of(tokenizer)
+        coder = Encoder.of(tokenizer, kept)
         sequence = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo in range(0, len(batch), SLICE):

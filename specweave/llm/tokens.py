@@ -61,6 +61,7 @@ class Encoder:
         self.lower = whole("A") == whole("a")
         self.space = _ALPHABET[32] if self.lead else ""
         self.seen: dict[str, bytes] = {}
+        self.kept = KEPT
         self.runs: dict[str, bytes] = {"": b""}
         self.line_end = array("I", whole("\n")).tobytes()
         probes = ["the", "Word", "été", "lügen", "ñandú", "ends.", "Comma,", "straße.", "ÀÉÎ", "a***", "b!!", "end.\nNext", "x\ny,\nz%%%", "it'", "a...,"]
@@ -68,10 +69,11 @@ class Encoder:
         self.direct = all(self._plain(p) == array("I", whole(" " + p)).tobytes() for p in probes)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder a worker and path."""
+    def of(cls, path: str, kept: int = KEPT) -> Encoder:
+        """One encoder a worker and path; ``kept`` bounds its table of pieces."""
         if path not in cls._open:
             cls._open[path] = cls(path)
+        cls._open[path].kept = kept
         return cls._open[path]
 
     def _word(self, word: str, lead: str) -> bytes | None:
@@ -126,7 +128,7 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
-        if len(self.seen) > KEPT:
+        if len(self.seen) > self.kept:
             self.seen = {}
         seen = self.seen
         out: list[bytes] = [b""] * len(texts)
