@@ -8,6 +8,7 @@ loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: ASCII upper case to lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -125,3 +126,25 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
         whole = shingle_hashes(words, len(words))
         return mix64(whole + np.uint64(len(words)))
     return np.unique(shingle_hashes(words, k))
+
+
+def tidy(run, every: int = 8):
+    """``run`` for mapInArrow, giving freed memory back to the system now and then: workers outlive their tasks."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # other C libraries have no such call
+            pass
+
+    def tidied(batches):
+        try:
+            for n, out in enumerate(run(batches), 1):
+                yield out
+                if n % every == 0:
+                    give_back()
+        finally:
+            give_back()
+
+    return tidied

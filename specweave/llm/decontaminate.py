@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import ALPHANUMERIC, Words, chunks, text_bytes, words_of
+from .bytewords import ALPHANUMERIC, Words, chunks, text_bytes, tidy, words_of
 from .common import staged, table
 
 BITS = 15
@@ -81,7 +81,7 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(SLOTS + 1)
     n[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return np.log((1.0 + n[SLOTS]) / (1.0 + n[:SLOTS])) + 0.1
@@ -119,7 +119,7 @@ def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray, width: int) ->
         rows = np.concatenate((back[at], gram))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(rows[:, j]) for j in range(l))], ["slot", *cols])
 
-    got = texts.mapInArrow(run, "slot long, " + ", ".join(f"{c} double" for c in cols)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
+    got = texts.mapInArrow(tidy(run), "slot long, " + ", ".join(f"{c} double" for c in cols)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
     shared.destroy()
     keys = got.column("slot").to_numpy()
     rows = np.stack([got.column(c).to_numpy() for c in cols], axis=1) if len(keys) else np.zeros((0, l))
@@ -312,7 +312,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosi
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -331,7 +331,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[lo + t for t, *_ in shared.value.leaks(w.hash, w.at)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

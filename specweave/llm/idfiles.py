@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
+from .bytewords import tidy
 from .common import fresh_path, staged, table
 from .tokens import Encoder, default_path
 
@@ -179,7 +180,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return staged(ranged.mapInArrow(run, "part long, path string, docs long, ids long"), "id-manifest")
+    return staged(ranged.mapInArrow(tidy(run), "part long, path string, docs long, ids long"), "id-manifest")
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, folder: str, ids: bool = True) -> DataFrame:
@@ -213,7 +214,7 @@ def read_ids(spark: SparkSession, manifest: DataFrame, folder: str, ids: bool =
                         yield _rows(rows, ids)
 
     todo = spark.createDataFrame(files, "path string, start long").repartition(max(1, len(files)))
-    return todo.mapInArrow(run, schema)
+    return todo.mapInArrow(tidy(run), schema)
 
 
 def _rows(rows: list[tuple], ids: bool) -> pa.RecordBatch:

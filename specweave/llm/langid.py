@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import mix64
+from .bytewords import mix64, tidy
 from .common import held_out, table
 
 BITS = 15
@@ -134,7 +134,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
-    got = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS + 1, np.int64)
     out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out[:SLOTS], int(out[SLOTS])
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
@@ -188,7 +188,7 @@ def keep_known(docs: DataFrame, languages: tuple[str, ...] | None = None, least:
             both = [shared.value.predict(t.as_py()) for t in batch.column("text")]
             yield batch.filter(pa.array([name != UND and score >= least and (languages is None or name in languages) for name, score in both], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .bytewords import NOT_SPACE, chunks, mix64, shingle_set, text_bytes, words_of
+from .bytewords import NOT_SPACE, chunks, mix64, shingle_set, text_bytes, tidy, words_of
 from .common import staged
 from .components import connected_components
 
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "h", "n_shingles", "cls", "keys"],
             )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n_shingles long, cls binary, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(tidy(run), "doc_id long, h long, n_shingles long, cls binary, keys array<long>")
 
 
 def shingle_table(docs: DataFrame, k: int) -> DataFrame:
@@ -120,7 +120,7 @@ def shingle_table(docs: DataFrame, k: int) -> DataFrame:
             sets = [s for s in _sets(batch, k) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, shingles binary")
+    return docs.select("text").mapInArrow(tidy(run), "cls binary, shingles binary")
 
 
 #: Counters of the sketch that puts rare shingles first; any counts give right results.
@@ -164,7 +164,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in cols], ["c", "root", "n", "pos", "shingle"])
 
-    out = staged(sets.select("c", "root", "shingles").mapInArrow(run, "c long, root long, n long, pos long, shingle long"), "prefixes")
+    out = staged(sets.select("c", "root", "shingles").mapInArrow(tidy(run), "c long, root long, n long, pos long, shingle long"), "prefixes")
     rarity.destroy()
     return out
 
@@ -186,7 +186,7 @@ def overlap_table(pairs: DataFrame) -> DataFrame:
                 total.append(len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, inter long, total long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long, inter long, total long")
 
 
 def _linked(percent: int) -> Column:

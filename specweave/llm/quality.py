@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import NOT_SPACE, chunks, text_bytes, words_of
+from .bytewords import NOT_SPACE, chunks, text_bytes, tidy, words_of
 from .common import held_out, staged, table
 
 FEATURES = ("word_bytes", "upper", "digits", "stops", "symbols", "new_lines", "repeats", "variety", "wide")
@@ -99,7 +99,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), flat], ["doc_id", "held_out", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -121,7 +121,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
             if sums[c, 0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.shape[1], c), pa.int32()), pa.array(np.arange(sums.shape[1]), pa.int32()), pa.array(sums[c])], ["c", "at", "v"])
 
-    got = labelled.select(F.col("quality").cast("int").alias("quality"), "x").mapInArrow(run, "c int, at int, v double").groupBy("c", "at").agg(F.sum("v").alias("v")).collect()
+    got = labelled.select(F.col("quality").cast("int").alias("quality"), "x").mapInArrow(tidy(run), "c int, at int, v double").groupBy("c", "at").agg(F.sum("v").alias("v")).collect()
     out: dict[int, np.ndarray] = {}
     for r in got:
         out.setdefault(r["c"], np.zeros(1 + d + d * d))[r["at"]] = r["v"]
@@ -183,7 +183,7 @@ class QualityClassifier:
                 s = model.score(_matrix(batch.column("x")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-        return self.features.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+        return self.features.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -195,7 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(model.score(text_features(batch.column("text"))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
