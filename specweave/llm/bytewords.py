@@ -17,7 +17,7 @@ import pyarrow as pa
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 #: ASCII upper case to lower case, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
