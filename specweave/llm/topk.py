@@ -6,7 +6,7 @@ product.  Candidates are stored by descending length.  A task adds up the
 first coordinates and bounds the rest by Cauchy-Schwarz; a candidate whose
 bound misses a query's k-th score so far is skipped, and once the product of
 lengths misses it all later ones are.  What remains is scored exactly in
-integers.  The first thresholds come from the longest vectors.
+integers, as one matrix product where most of a tile remains.  The first thresholds come from the longest vectors.
 
 Queries go round in blocks of bounded size, each over all rows.
 
@@ -30,6 +30,9 @@ QUERY_BLOCK = 4096
 SEEDS = 2048
 HEAD = 16
 STEP = 1024
+#: a tile with a larger share than 1 / DENSE of its pairs open is multiplied whole
+DENSE = 64
+PAIRS = 1 << 16
 SCALE = 64
 
 
@@ -91,16 +94,21 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; ``turn`` rotates the queries once."""
 
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray):
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, turn: np.ndarray, head: int):
         self.q, self.ids, self.k = queries, ids, k
+        self.turn, self.head = turn, head
+        self.q_norm = np.sqrt((queries * queries).sum(axis=1))
+        self.q_head = _with_rest(queries @ turn, head)
         self.owner = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.int64)
         self.vec = np.zeros(0, np.int64)
         self.floor = floor.copy()
 
     def add(self, owner: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
+        if not len(owner):
+            return
         owner, score, vec = np.concatenate((self.owner, owner)), np.concatenate((self.score, score)), np.concatenate((self.vec, vec))
         order = np.lexsort((vec, -score, owner))
         owner, score, vec = owner[order], score[order], vec[order]
@@ -111,29 +119,48 @@ class _Best:
         self.owner, self.score, self.vec = owner[keep], score[keep], vec[keep]
 
 
-def _scan(best: _Best, x: np.ndarray, ids: np.ndarray, norms: np.ndarray, turn: np.ndarray, head: int) -> None:
+def _with_rest(rotated: np.ndarray, head: int) -> np.ndarray:
+    """The first coordinates and, as one more, the length of the others.
+
+    The product of two such rows is the partial sum plus the Cauchy-Schwarz bound of the rest.
+    """
+    rest = np.sqrt((rotated[:, head:] ** 2).sum(axis=1))
+    return np.concatenate((rotated[:, :head], rest[:, None]), axis=1)
+
+
+def _scan(best: _Best, x: np.ndarray, ids: np.ndarray, norms: np.ndarray) -> None:
     """Lets ``best`` meet the candidates ``x``, longest first."""
     order = np.argsort(-norms, kind="stable")
     x, ids, norms = x[order], ids[order], norms[order]
-    q, rx = best.q @ turn, x @ turn
-    q_norm = np.sqrt((best.q * best.q).sum(axis=1))
-    q_rest, x_rest = np.sqrt(np.maximum((q[:, head:] ** 2).sum(axis=1), 0)), np.sqrt(np.maximum((rx[:, head:] ** 2).sum(axis=1), 0))
+    x_head = _with_rest(x @ best.turn, best.head)
     for lo in range(0, len(x), STEP):
-        part = slice(lo, lo + STEP)
-        slack = 1e-9 * q_norm * norms[lo] + 0.5
-        live = np.flatnonzero(q_norm * norms[lo] + slack >= best.floor)
+        slack = 1e-9 * best.q_norm * norms[lo] + 0.5
+        live = np.flatnonzero(best.q_norm * norms[lo] + slack >= best.floor)
         if not len(live):
             return  # all later ones are no longer
-        bound = q[live, :head] @ rx[part, :head].T + q_rest[live, None] * x_rest[None, part]
-        a, b = np.nonzero(bound + slack[live, None] >= best.floor[live, None])
-        a, b = live[a], b + lo
-        other = best.ids[a] != ids[b]
-        a, b = a[other], b[other]
-        for c in range(0, len(a), 1 << 18):
-            i, j = a[c : c + (1 << 18)], b[c : c + (1 << 18)]
-            s = exact_scores(best.q[i], x[j])
-            good = s >= best.floor[i]
-            best.add(i[good], s[good], ids[j[good]])
+        for at in range(0, len(live), STEP):
+            _tile(best, live[at : at + STEP], slack, x[lo : lo + STEP], x_head[lo : lo + STEP], ids[lo : lo + STEP])
+
+
+def _tile(best: _Best, live: np.ndarray, slack: np.ndarray, x: np.ndarray, x_head: np.ndarray, ids: np.ndarray) -> None:
+    """Scores the pairs of some queries and candidates whose bound meets the query's floor."""
+    open_ = best.q_head[live] @ x_head.T >= (best.floor[live] - slack[live])[:, None]
+    rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(rows):
+        return
+    live, x, ids, open_ = live[rows], x[columns], ids[columns], open_[np.ix_(rows, columns)]
+    q = best.q[live]
+    most = np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * q.shape[1]
+    if most < 2.0**53 and np.count_nonzero(open_) * DENSE >= open_.size:
+        # many pairs are open: one product of integers, exact in doubles, costs less than picking them
+        scores = q @ x.T
+        a, b = np.nonzero(open_ & (scores >= best.floor[live][:, None]))
+        s = scores[a, b].astype(np.int64)
+    else:
+        a, b = np.nonzero(open_)
+        s = np.concatenate([exact_scores(q[a[c : c + PAIRS]], x[b[c : c + PAIRS]]) for c in range(0, len(a), PAIRS)])
+    good = (s >= best.floor[live[a]]) & (best.ids[live[a]] != ids[b])
+    best.add(live[a[good]], s[good], ids[b[good]])
 
 
 def top_k(vectors: DataFrame, k: int = 20, scale: int = SCALE, query_mod: int = 20, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -160,15 +187,15 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = SCALE, query_mod: int =
         if not block.num_rows:
             continue
         q, qid = _stack(block.column("v").combine_chunks(), d), block.column("vec_id").to_numpy()
-        first = _Best(q, qid, k, np.full(len(qid), -np.inf))
-        _scan(first, sx, sid, sn, turn, head)
+        first = _Best(q, qid, k, np.full(len(qid), -np.inf), turn, head)
+        _scan(first, sx, sid, sn)
         shared = spark.sparkContext.broadcast((q, qid, first.floor, turn))
 
         def run(batches, shared=shared):
             q, qid, floor, turn = shared.value
-            best = _Best(q, qid, k, floor)
+            best = _Best(q, qid, k, floor, turn, head)
             for batch in batches:
-                _scan(best, _stack(batch.column("v"), d), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy(), turn, head)
+                _scan(best, _stack(batch.column("v"), d), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (qid[best.owner], best.vec, best.score)], ["query_id", "vec_id", "score"])
 
         results.append(own.select("vec_id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score long"))
