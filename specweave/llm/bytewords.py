@@ -128,8 +128,20 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, k))
 
 
-def tidy(run, every: int = 8):
-    """``run`` for mapInArrow, giving freed memory back to the system now and then: workers outlive their tasks."""
+#: What operators keep in a worker between tasks; those that don't use it empty it.
+KEPT_IN_WORKER: list[dict] = []
+
+
+def _drop_kept() -> None:
+    for held in KEPT_IN_WORKER:
+        held.clear()
+
+
+def tidy(run, every: int = 8, keep: bool = False):
+    """``run`` for mapInArrow, giving freed memory back to the system now and then: workers outlive their tasks.
+
+    Unless ``keep``, what other operators left in the worker goes first.
+    """
 
     def give_back() -> None:
         pa.default_memory_pool().release_unused()
@@ -139,6 +151,8 @@ def tidy(run, every: int = 8):
             pass
 
     def tidied(batches):
+        if not keep:
+            _drop_kept()  # by name: closures travel with copies of what they refer to
         try:
             for n, out in enumerate(run(batches), 1):
                 yield out

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Edges of a round in one file, and files at least.
+FILE_EDGES, FILES = 500_000, 6
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -41,4 +44,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("b").alias("node"), F.col("b").alias("root"))
             ).distinct()
         seen = mark
-        now = staged(_small_star(_large_star(now).distinct()).where("a <> b").distinct(), "edges")
+        # a round's edges go into few files, however many partitions its joins had
+        files = max(FILES, -(-mark[0] // FILE_EDGES))
+        now = staged(_small_star(_large_star(now).distinct()).where("a <> b").distinct().repartition(files), "edges")

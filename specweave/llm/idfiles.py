@@ -180,7 +180,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return staged(ranged.mapInArrow(tidy(run), "part long, path string, docs long, ids long"), "id-manifest")
+    return staged(ranged.mapInArrow(tidy(run, keep=True), "part long, path string, docs long, ids long"), "id-manifest")
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, folder: str, ids: bool = True) -> DataFrame:

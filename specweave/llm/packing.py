@@ -68,7 +68,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(own, pa.list_(pa.int32()))] if ids else []), names + ["ids"] * ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names) + (", ids array<int>" if ids else ""))
+    return rows.mapInArrow(tidy(run, keep=True), ", ".join(f"{c} long" for c in names) + (", ids array<int>" if ids else ""))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

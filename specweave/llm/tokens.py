@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 
+from .bytewords import KEPT_IN_WORKER
+
 _ODD_SPACE = re.compile(r" \s|\s |^ | \Z")
 _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: ASCII punctuation: after a word it is one run for both tokenizers.
@@ -73,6 +75,8 @@ class Encoder:
         """One encoder a worker and path; ``kept`` bounds its table of pieces."""
         if path not in cls._open:
             cls._open[path] = cls(path)
+            if not any(held is cls._open for held in KEPT_IN_WORKER):
+                KEPT_IN_WORKER.append(cls._open)
         cls._open[path].kept = kept
         return cls._open[path]
 

@@ -198,6 +198,23 @@ def test_encoder_equals_tokenizer(name):
         assert got == np.array(e.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_operators_free_the_encoder():
+    from pyspark import cloudpickle
+
+    from specweave.llm.bytewords import tidy
+    from specweave.llm.tokens import Encoder, default_path
+
+    def run(batches):
+        return batches
+
+    keeping, freeing = (cloudpickle.loads(cloudpickle.dumps(tidy(run, keep=k))) for k in (True, False))
+    Encoder.of(default_path("byte_bpe_50k.json"))
+    list(keeping(iter([])))
+    assert Encoder._open
+    list(freeing(iter([])))
+    assert not Encoder._open
+
+
 def test_ids_and_packing_round_trip(spark, tmp_path):
     from specweave.llm import idfiles, packing
     from specweave.llm.tokens import Encoder, default_path
