@@ -1,14 +1,18 @@
 """License scan in DataFrame operations only.
 
 Base labels are phrases whose words stand consecutively.  The method's labels
-come from an exact set-similarity join of text blocks (lines) with license
-templates: a block meets a template if it holds at least the threshold's share
-of its distinct words.  Words are ordered by how many documents hold them in
+come from an exact set-similarity join of text blocks with license templates: a
+block meets a template if it holds at least the threshold's share of its
+distinct words.  Blocks are the lines and, for notices wrapped over lines, all
+windows of as many consecutive words of the text as the template has
+(``OP7_SQL`` knows lines only).  Lines: words are ordered by how many documents hold them in
 the whole table, rare ones first; a block that meets a template must hold one
 of the template's first ``size - needed + 1`` words (prefix filter), have
 ``needed`` words (length filter) and have enough words of the templates left
 from the first match on, on both sides (positional filter).  What passes is
-verified on the whole sets, so no block is missed.
+verified on the whole sets, so no block is missed.  Windows: only texts that hold
+a template's needed words anywhere are looked at, and only windows that start at
+one of its words, so no window is missed either.
 
 Templates are configuration: their index is a literal in the plan and is
 bounded by ``MAX_TEMPLATE_WORDS``.  Only counts and the few candidate lines
@@ -94,6 +98,14 @@ def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
+def _windows(own: DataFrame) -> DataFrame:
+    """(row, label, share) of the templates that a window of words meets; the share is that of the best window."""
+    each = own.select("row", "places", F.explode("wanted").alias("t")).select("row", "t", F.filter("places", lambda x: F.array_contains(F.col("t.members"), x["word"])).alias("places"))
+    best = "array_max(transform(places, (x, i) -> size(array_distinct(transform(filter(slice(places, i + 1, t.length), y -> y.at < x.at + t.length), y -> y.word)))))"
+    each = each.select("row", "t", F.expr(best).alias("best")).where("best >= t.needed")
+    return each.select("row", F.col("t.label").alias("label"), (F.col("best") / F.size("t.members")).alias("share"))
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs`` (doc_id, text).
 
@@ -101,16 +113,18 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     """
     spark = docs.sparkSession
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    lengths = [len(text.split()) for _, text in templates]
     vocabulary = sorted({w for _, s in sets for w in s})
     if not all(s for _, s in sets) or not all(p.split() for p, _ in phrases) or len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError("templates and phrases need words, and templates a bounded number of them")
     counts = word_counts(docs, vocabulary)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    index, front = [], set()
+    index, front, whole = [], set(), []
     for t, (label, words) in enumerate(sets):
         words = sorted(words, key=rank.__getitem__)
         needed = max(1, -int(-threshold * len(words) // 1))
+        whole.append((label, lengths[t], needed, words))
         for pos, w in enumerate(words[: len(words) - needed + 1]):
             front.add(w)
             index.append((rank[w], t, label, pos, len(words), needed, [rank[x] for x in words]))
@@ -121,8 +135,15 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     own = docs.select("doc_id", low.alias("low")).withColumn("norm", normal(F.col("low")))
     own = base_columns(own, phrases)
     lines = F.filter(F.split("low", "\n"), lambda x: F.arrays_overlap(F.split(F.regexp_replace(x, NOT_WORD, " "), " "), first_words))
-    own = own.withColumn("lines", F.when(F.arrays_overlap(F.split("norm", " "), first_words), lines))
-    own = staged(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "lines"), "licenses")
+    own = own.withColumn("held", F.array_intersect(F.split("norm", " "), all_words))
+    own = own.withColumn("lines", F.when(F.arrays_overlap("held", first_words), lines))
+    # templates that the whole text could meet, and where their words stand in it
+    wanted = F.array(*(F.struct(F.lit(lab).alias("label"), F.lit(m).alias("length"), F.lit(c).alias("needed"), F.array(*map(F.lit, w)).alias("members")) for lab, m, c, w in whole))
+    several = F.arrays_overlap("held", first_words) & F.contains("low", F.lit("\n"))
+    own = own.withColumn("wanted", F.when(several, F.filter(wanted, lambda t: F.size(F.array_intersect(F.col("held"), t["members"])) >= t["needed"])))
+    places = F.filter(F.transform(F.split("norm", " "), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(all_words, x["word"]))
+    own = own.withColumn("places", F.when(F.size("wanted") > 0, places))
+    own = staged(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "lines", "wanted", "places"), "licenses")
 
     blocks = own.select("row", F.posexplode("lines").alias("line", "text"))
     blocks = blocks.select("row", "line", F.array_distinct(F.split(normal(F.col("text")), " ")).alias("words"))
@@ -134,9 +155,10 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     near = probe.join(F.broadcast(table_), "rank").where("size >= needed and 1 + least(n - pos - 1, size(ranks) - at - 1) >= needed")
     share = F.size(F.array_intersect("ranks", "members"))
     met = near.where(share >= F.col("needed")).select("row", "label", (share / F.col("n")).alias("share"))
+    met = met.unionByName(_windows(own))
     found = met.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
 
-    out = own.drop("lines").join(found, "row", "left")
+    out = own.drop("lines", "wanted", "places").join(found, "row", "left")
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     none = F.array().cast("array<string>")
     return out.select(

@@ -245,3 +245,17 @@ def test_empty_tables(spark):
     assert NearDuplicates(none).components().count() == 0 and licenses.scan(none).count() == 0
     assert packing.pack(none, default_path("byte_bpe_50k.json")).count() == 0 and quality.QualityClassifier(none, labels).scores().count() == 0
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    from specweave.llm import licenses
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0."
+    # all words of the notice, but scattered: no block holds enough of them
+    apart = mit.replace("\n", "\n" + "filler " * 40 + "\n").replace("charge", "charge" + " filler" * 40)
+    rows = [(1, mit), (2, "code();\n" + gpl), (3, bsd), (4, mpl), (5, apart), (6, mit.replace("\n", " "))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("gpl-3", 1.0), 3: ("bsd", 1.0), 4: ("mpl-2", 1.0), 5: ("", 0.0), 6: ("mit", 1.0)}
