@@ -287,7 +287,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, c
     idf = word_frequencies(own)
     n = max(1, own.count())
     picked = own.where((F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))) < min(1.0, sample / n)).limit(4 * sample)
-    fit_on = staged(picked.unionByName(benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").limit(4 * sample)), "passages")
+    fit_on = staged(picked.unionByName(benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")), "passages")
     values, right = randomised_svd(fit_on, idf)
     return [LatentIndex(items, idf, values, right, cosine) for items in _items(benchmark)]
 

@@ -259,3 +259,14 @@ def test_wrapped_notices(spark):
     rows = [(1, mit), (2, "code();\n" + gpl), (3, bsd), (4, mpl), (5, apart), (6, mit.replace("\n", " "))]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs(spark, rows)).collect()}
     assert got == {1: ("mit", 1.0), 2: ("gpl-3", 1.0), 3: ("bsd", 1.0), 4: ("mpl-2", 1.0), 5: ("", 0.0), 6: ("mit", 1.0)}
+
+
+def test_all_items_teach_the_latent_space(spark):
+    from specweave.llm import decontaminate
+
+    # no two items share a word, so an item outside the fit has no place in the space
+    items = [" ".join(f"i{k}w{j}" for j in range(32)) for k in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(k, f"some words stand before {t} and some after it") for k, t in enumerate(items)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, rows), bench, sample=1).collect()}
+    assert got == {(k, k) for k in range(40)}
