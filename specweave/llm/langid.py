@@ -6,12 +6,21 @@ counted over all rows that may teach.  The weights are trained with follow the
 regularised leader (per-coordinate FTRL-Proximal) under L1 and L2 penalties on
 a bounded sample (``PER_LANGUAGE`` texts of a language, of ``LANGUAGES``
 languages at most, picked by a hash of the row); a fifth of it calibrates one
-temperature.  Whole texts are read in training and prediction.
+temperature and the rejection threshold.  Whole texts are read in training and
+prediction.
+
+Rejection (``keep_known``) looks at the best language's logit before the
+temperature, the evidence: what a text's n-grams say for a language at all.  The
+score says only which language is the likeliest of those learned, so random
+letters reach scores near 1.  The threshold is the evidence that 99 % of texts of
+random letters, as long as the calibrating ones, stay below, and never more than
+the least evidence of a calibrating text whose language is recognised.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0;
 null languages teach nothing; without any labelled row all predictions are
 ``und``; with one language all other texts get it, score 1; extra columns are
-ignored.
+ignored.  With one language there is no evidence, so every text with a letter is
+kept.
 """
 
 from __future__ import annotations
@@ -68,18 +77,25 @@ class LanguageModel:
     idf: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     temperature: float = 1.0
+    #: Least evidence of a text in a learned language.
+    floor: float = 0.0
 
     def logits(self, text: str) -> np.ndarray:
         at, w = weights_of(text, self.idf)
         return w @ self.weights[at]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(likeliest language, score, whether the evidence is enough)."""
         if not self.languages or not has_letter(text):
-            return UND, 0.0
-        z = self.logits(text) / self.temperature
+            return UND, 0.0, False
+        evidence = self.logits(text)
+        z = evidence / self.temperature
         p = np.exp(z - z.max())
         best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        return self.languages[best], float(p[best] / p.sum()), bool(evidence[best] >= self.floor)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def train_ftrl(rows, n_languages: int, alpha=0.5, beta=1.0, l1=0.02, l2=0.05, epochs=3, seed=7) -> np.ndarray:
@@ -122,6 +138,22 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def noise(texts: list[str], seed: int = 11) -> list[str]:
+    """Texts of random letters, of the alphabet and the lengths of ``texts``."""
+    rng = np.random.default_rng(seed)
+    letters = np.array(sorted({c for t in texts for c in set(t.lower()) if c.isalpha()}) or ["a"])
+    return ["".join(np.where(rng.random(len(t)) < 0.15, " ", rng.choice(letters, len(t)))) for t in texts]
+
+
+def fit_floor(model: LanguageModel, held, texts: list[str]) -> float:
+    """The rejection threshold from calibrating rows ((slots, weights), class) and their texts."""
+    evidence = np.array([x @ model.weights[a] for (a, x), _ in held])
+    right = evidence.argmax(axis=1) == np.array([y for _, y in held])
+    random = np.quantile([model.logits(t).max() for t in noise(texts)], 0.99)
+    # a little less, for rounding
+    return float(min(random, evidence.max(axis=1)[right].min() * 0.999)) if right.any() else 0.0
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(documents with each slot, documents) over all of ``texts`` (text)."""
 
@@ -154,11 +186,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     sample = picked.orderBy("h").limit(2 * per_language * len(counts)).select("text", "lang").toArrow().to_pylist()
     names = sorted(counts)
     at = {k: i for i, k in enumerate(names)}
-    rows = [(weights_of(r["text"], idf), at[r["lang"]]) for r in sample if has_letter(r["text"])]
-    held = rows[::5] if len(rows) >= 50 else rows
+    sample = [r for r in sample if has_letter(r["text"])]
+    rows = [(weights_of(r["text"], idf), at[r["lang"]]) for r in sample]
+    held, texts = (x[::5] if len(rows) >= 50 else x for x in (rows, [r["text"] for r in sample]))
     model = LanguageModel(names, idf, train_ftrl([r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows, len(names)))
     if held and len(names) > 1:
         model.temperature = fit_temperature(np.array([x @ model.weights[a] for (a, x), _ in held]), np.array([y for _, y in held]))
+        model.floor = fit_floor(model, held, texts)
     model.idf, model.weights = idf.astype(np.float32), model.weights.astype(np.float32)
     return model
 
@@ -180,13 +214,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, in a learned language (or one of ``languages``) with score ``least`` or more."""
+    """The rows of ``docs``, all columns, in a learned language (or one of ``languages``) by evidence, with score ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
         for batch in batches:
-            both = [shared.value.predict(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array([name != UND and score >= least and (languages is None or name in languages) for name, score in both], pa.bool_()))
+            found = [shared.value.judge(t.as_py()) for t in batch.column("text")]
+            yield batch.filter(pa.array([known and score >= least and (languages is None or name in languages) for name, score, known in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 

@@ -270,3 +270,15 @@ def test_all_items_teach_the_latent_space(spark):
     rows = [(k, f"some words stand before {t} and some after it") for k, t in enumerate(items)]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, rows), bench, sample=1).collect()}
     assert got == {(k, k) for k in range(40)}
+
+
+def test_unlearned_languages_go(spark):
+    import corpus_pipeline
+
+    words = {"en": "the of and house river", "de": "der und das haus fluss ist", "fr": "le et la maison rivière est"}
+    rng = np.random.default_rng(2)
+    known = [(i, " ".join(rng.choice(words[k].split(), 20)), k, "s", 0) for i in range(150) for k in [list(words)[i % 3]]]
+    letters = list("abcdefghijklmnopqrstuvwxyz   ")
+    foreign = ["Российский язык является одним из восточнославянских языков", "中文是世界上使用人数最多的语言之一也是联合国的官方语言", *("".join(rng.choice(letters, 300)) for _ in range(5)), "12 !?", None]
+    table = spark.createDataFrame(known + [(200 + i, t, None, "s", 0) for i, t in enumerate(foreign)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, table, "").collect()) == list(range(150))
