@@ -6,7 +6,9 @@ frequencies are counted over all documents.  A distributed randomised SVD of
 the items and a bounded sample of passages (``SAMPLE`` documents, picked by a
 hash; every passage is searched) gives a latent space.  Each word has a latent
 vector, so the vector of any window is a difference of running sums, and every
-window of a document meets the items by cosine, in blocks.  Candidates are
+window of a document meets the items by cosine, in blocks.  Besides, windows around
+runs of ``SHORT`` words of an item (of all its words, if they are fewer) are
+candidates whatever their cosine, so that no verbatim copy is missed.  Candidates are
 verified on whole words: a window leaks an item if their longest common
 subsequence covers ``COPY`` of the item's words, or ``PARAPHRASE`` of them
 while the item's answer is there too.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import ALPHANUMERIC, Words, chunks, text_bytes, tidy, words_of
+from .bytewords import ALPHANUMERIC, Words, chunks, mix64, text_bytes, tidy, words_of
 from .common import staged, table
 
 BITS = 15
@@ -50,6 +52,14 @@ SHORT = 5
 _SENTENCE = re.compile(r"[.!?]+\s+")
 
 
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + len(out)]
+    return mix64(out)
+
+
 def slots_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -214,6 +224,40 @@ class LatentIndex:
             x = np.array([self.words[:, slots_of(self.items[k].words)].sum(axis=1) for k in own])
             self.scales.append((width, own, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)))
 
+        # by length: hashes of the heaviest run of each eight of an item, in order, with item and place in it
+        self.vectors: dict[int, np.ndarray] = {int(k): x for _, own, xs in self.scales for k, x in zip(own, xs)}
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k, i in enumerate(self.items):
+            n = min(SHORT, i.n)
+            run, weight = runs_of(i.words, n), np.convolve(self.idf[slots_of(i.words)], np.ones(n), "valid")
+            places = [lo + int(weight[lo : lo + 8].argmax()) for lo in range(0, len(run), 8)]
+            found.setdefault(n, []).extend((int(run[p]), k, p) for p in places)
+        for n, rows in found.items():
+            rows.sort()
+            key = np.array([r[0] for r in rows], np.uint64)
+            some = np.zeros(1 << 18, bool)
+            some[key >> np.uint64(46)] = True
+            self.runs[n] = some, key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+    def copies(self, hashes: np.ndarray, at: np.ndarray):
+        """(text, item, first word in the text, width, cosine) of windows that share a run of words with an item."""
+        for n, (some, key, items, places) in self.runs.items():
+            run = runs_of(hashes, n)
+            first = np.flatnonzero(some[run >> np.uint64(46)])
+            text = np.searchsorted(at, first, "right") - 1
+            inside = first + n <= at[text + 1]
+            first, text = first[inside], text[inside]
+            lo, hi = np.searchsorted(key, run[first], "left"), np.searchsorted(key, run[first], "right")
+            for j in np.flatnonzero(hi > lo).tolist():
+                t = int(text[j])
+                size = int(at[t + 1] - at[t])
+                for e in range(lo[j], hi[j]):
+                    k = int(items[e])
+                    start = min(max(0, int(first[j] - at[t]) - int(places[e])), size - 1)
+                    x = self.words[:, slots_of(hashes[at[t] + start : at[t] + min(size, start + self.items[k].n)])].sum(axis=1)
+                    yield t, k, start, self.items[k].n, float(self.vectors[k] @ x / max(float(np.linalg.norm(x)), 1e-9))
+
     def candidates(self, hashes: np.ndarray, at: np.ndarray):
         """Arrays (text, item, first word in the text, width, cosine) of windows near an item.
 
@@ -261,6 +305,8 @@ class LatentIndex:
         for text, item, start, width, cosine in self.candidates(hashes, at):
             for t, k, s, c in zip(text.tolist(), item.tolist(), start.tolist(), cosine.tolist()):
                 by_pair.setdefault((t, k), []).append((-c, s, width))
+        for t, k, s, width, c in self.copies(hashes, at):
+            by_pair.setdefault((t, k), []).append((-c, s, width))
         for (text, k), windows in sorted(by_pair.items()):
             item, n = self.items[k], int(at[text + 1] - at[text])
             for cosine, start, width in sorted(windows):

@@ -282,3 +282,20 @@ def test_unlearned_languages_go(spark):
     foreign = ["Российский язык является одним из восточнославянских языков", "中文是世界上使用人数最多的语言之一也是联合国的官方语言", *("".join(rng.choice(letters, 300)) for _ in range(5)), "12 !?", None]
     table = spark.createDataFrame(known + [(200 + i, t, None, "s", 0) for i, t in enumerate(foreign)], DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, table, "").collect()) == list(range(150))
+
+
+def test_verbatim_copies_at_any_place():
+    from specweave.llm.decontaminate import RANK, SLOTS, Item, LatentIndex, text_words
+
+    rng = np.random.default_rng(6)
+    items = [" ".join(f"i{k}x{j}" for j in range(n)) for k, n in enumerate((1, 2, 3, 4, 5, 24, 26, 46, 55))]
+    # every word has a direction of its own, so foreign words beside an item lower its cosine
+    index = LatentIndex([Item(k, t) for k, t in enumerate(items)], np.ones(SLOTS), np.ones(RANK), rng.standard_normal((SLOTS, RANK)))
+    for k, item in enumerate(items):
+        for before in range(40, 44):
+            words = text_words(" ".join(f"b{j}" for j in range(before)) + f" {item} " + " ".join(f"a{j}" for j in range(60)))
+            got = [(t, i.item_id, common, kind) for t, i, _, common, kind, _ in index.leaks(words, np.array([0, len(words)]))]
+            assert got == [(0, k, index.items[k].n, "copy")]
+    # the words of a short item must stand together
+    words = text_words("before i1x0 between i1x1 after")
+    assert not list(index.leaks(words, np.array([0, len(words)])))
