@@ -299,3 +299,48 @@ def test_verbatim_copies_at_any_place():
     # the words of a short item must stand together
     words = text_words("before i1x0 between i1x1 after")
     assert not list(index.leaks(words, np.array([0, len(words)])))
+
+
+def test_paraphrases_match_brute_force(spark):
+    from specweave.llm import decontaminate
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    prose = lambda n: list(rng.choice(vocabulary, n))
+    items = [(prose(30), prose(8)) for _ in range(60)]
+    rows = {}
+    for k, (question, answer) in enumerate(items):
+        for there in (True, False):
+            own, end = list(question), list(answer)
+            for i in rng.choice(30, int(rng.integers(8, 15)) if there else 6, replace=False):
+                own[i] = f"o{i}"
+            for i in () if there else rng.choice(8, 5, replace=False):
+                end[i] = f"o{i}"
+            rows[2 * k + (not there)] = prose(int(rng.integers(20, 60))) + own + end + prose(40)
+    rows |= {1000 + i: prose(200) for i in range(60)}
+
+    def common(a, b):
+        last = [0] * (len(b) + 1)
+        for p in a:
+            row = [0]
+            for j, q in enumerate(b):
+                row.append(last[j] + 1 if p == q else max(last[j + 1], row[j]))
+            last = row
+        return last[-1]
+
+    want = set()
+    for d, words in rows.items():
+        for k, (question, answer) in enumerate(items):
+            item = question + answer
+            if len(set(item) & set(words)) < 0.6 * len(set(item)):
+                continue
+            for i in range(len(words) - 37):
+                window = words[i : i + 38]
+                lcs = common(item, window)
+                if lcs >= 0.8 * 38 or lcs >= 0.6 * 38 and np.isin(answer, window).mean() >= 0.8:
+                    want.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(q) + ". " + " ".join(a) + ".") for k, (q, a) in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_leaks(docs(spark, [(d, " ".join(w)) for d, w in rows.items()]), bench).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert want == {(2 * k, k) for k in range(60)} and got <= want
+    assert {r["kind"] for r in found} == {"paraphrase"} and len(got) >= 0.9 * len(want), len(got) / len(want)
