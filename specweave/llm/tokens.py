@@ -2,10 +2,11 @@
 
 The tokenizers split at a space between two other characters, so a text may
 be cut there and equal pieces encoded once: pieces seen before come from a
-table in the worker.  New pieces that are plain Latin words, with a full stop
-or comma at most, go straight to the tokenizer's BPE model; all others go
-through the whole tokenizer.  Where a space meets white space the text is
-encoded whole instead.
+table in the worker.  New pieces that are plain Latin words, with ASCII
+punctuation at most after them, go straight to the tokenizer's BPE model; all others go
+through the whole tokenizer.  Where a space meets white space, or where an added
+token of the tokenizer stands in a text, the text is encoded whole instead.  The
+ids are those of the library's ``encode`` whatever the worker has seen before.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ def _odd(text: str) -> bool:
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers in bytes.
 
-    ``path``: a file of the tokenizers library.  Strings of special tokens in
-    a text are ordinary text and no special tokens are added.
+    ``path``: a file of the tokenizers library, used as it is; the library adds no
+    tokens of its own at the ends of a text.
     """
 
     _open: dict[str, Encoder] = {}
@@ -56,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.lead = whole(" a") != whole("a")
@@ -82,13 +83,11 @@ class Encoder:
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of a plain Latin word after ``lead``; None for other texts."""
+        if not word.isalpha() or max(word) >= "Ā":
+            return None
         if self.lower:
             word = word.lower()
-        if not word.isalpha():
-            return None
         if not word.isascii():
-            if max(word) >= "Ā":
-                return None
             word = word.encode().decode("latin-1").translate(_ALPHABET)
         return array("I", [t.id for t in self.model.tokenize(lead + word)]).tobytes()
 
@@ -104,26 +103,20 @@ class Encoder:
         """Ids of a space and ``piece``, if that is words and trailing punctuation with single line ends between; else None."""
         if not self.direct:
             return None
-        piece, *more = piece.split("\n")
-        word = piece.rstrip(_MARKS)
-        ids = self.seen.get(word)
-        if ids is None:
-            ids = self._word(word, self.space)
-            if ids is None:
-                return None
-            self.seen[word] = ids
-        elif not word:
-            return None
-        if len(word) < len(piece):
-            ids += self._marks(piece[len(word) :])
-        for piece in more:
-            word = piece.rstrip(_MARKS)
-            own = self._word(word, "")
+        ids, lead = b"", self.space
+        for n, part in enumerate(piece.split("\n")):
+            word = part.rstrip(_MARKS)
+            own = self._word(word, lead)
             if own is None:
                 return None
-            ids += self.line_end + own + self._marks(piece[len(word) :])
+            ids += (self.line_end if n else b"") + own + self._marks(part[len(word) :])
+            lead = ""
         return ids
 
+    def _has_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(texts), 1024):
@@ -142,7 +135,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _odd(text):
+            if _odd(text) or self._has_added(text):
                 alone.append((i, text))
                 continue
             first, *rest = text.split(" ")
