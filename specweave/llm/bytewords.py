@@ -1,22 +1,22 @@
 """Vectorised word splitting and hashing over Arrow text columns.
 
 Texts are handled as UTF-8 bytes.  All separators used here are ASCII, so
-splitting bytes equals splitting characters.  Word hashes are polynomials over
-random byte values modulo 2**64, taken from prefix sums, then mixed; nothing
-loops over words in Python.
+splitting bytes equals splitting characters.  A word's hash takes its bytes
+eight at a time, each eight mixed in, words over ``LONG`` bytes by BLAKE2; words of
+eight bytes or fewer and one length never share a hash.  Sets of words and
+shingles are compared by these 64-bit hashes.  Nothing loops over words in Python
+but over those longer than ``LONG``.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 CHUNK = 1 << 18
 
 #: ASCII upper case to lower case, all other bytes as they are.
@@ -32,20 +32,9 @@ ALPHANUMERIC = np.zeros(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     ALPHANUMERIC[_a:_b] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        both = []
-        for base in (_ODD, _INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[size] = tuple(both)
-    return _powers[size]
+#: Longest word that is hashed eight bytes at a time.
+LONG = 256
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -78,6 +67,24 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         row = end
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word ``data[start:end]``."""
+    left = end - start
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = mix64(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eights[start] & _FIRST[np.minimum(left, 8)]))
+    todo = np.flatnonzero((left > 8) & (left <= LONG))
+    at = 8
+    while len(todo):
+        part = eights[start[todo] + at] & _FIRST[np.minimum(left[todo] - at, 8)]
+        out[todo] = mix64(out[todo] * np.uint64(0x9FB21C651E98DF25) + mix64(part + np.uint64(at)))
+        at += 8
+        todo = todo[left[todo] > at]
+    for i in np.flatnonzero(left > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of a range of texts: hash, byte span and, by text, word ranges."""
 
@@ -98,10 +105,7 @@ class Words:
         #: texts' ranges of words: text i has words at[i] to at[i + 1]
         self.at = np.searchsorted(self.start, offsets)
         if hashes:
-            power, inverse = _power_tables(n)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.bytes] * power[:n], out=total[1:])
-            self.hash = mix64((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+            self.hash = word_hashes(self.bytes, self.start, self.end)
 
 
 def words_of(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int, is_word: np.ndarray) -> Words:
