@@ -8,7 +8,10 @@ bound misses a query's k-th score so far is skipped, and once the product of
 lengths misses it all later ones are.  What remains is scored exactly in
 integers, as one matrix product where most of a tile remains.  The first thresholds come from the longest vectors.
 
-Queries go round in blocks of bounded size, each over all rows.
+Queries are written to the shared folder in blocks of bounded size, with their first
+thresholds.  One pass over the candidates serves all of them: a task holds one range of
+candidates, about ``RANGE`` bytes, and meets the blocks one by one.  What is broadcast is the rotation
+and the ``SEEDS`` longest vectors.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component
 take no part, nor do those with a null id; vectors of different lengths are
@@ -19,14 +22,20 @@ ignored; scores beyond 64 bits raise an error.
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import fresh_path, staged, table
 
 QUERY_BLOCK = 4096
+#: Bytes of the candidates of a task, about.
+RANGE = 1 << 25
 SEEDS = 2048
 HEAD = 16
 STEP = 1024
@@ -128,18 +137,25 @@ def _with_rest(rotated: np.ndarray, head: int) -> np.ndarray:
     return np.concatenate((rotated[:, :head], rest[:, None]), axis=1)
 
 
-def _scan(best: _Best, x: np.ndarray, ids: np.ndarray, norms: np.ndarray) -> None:
-    """Lets ``best`` meet the candidates ``x``, longest first."""
-    order = np.argsort(-norms, kind="stable")
-    x, ids, norms = x[order], ids[order], norms[order]
-    x_head = _with_rest(x @ best.turn, best.head)
-    for lo in range(0, len(x), STEP):
-        slack = 1e-9 * best.q_norm * norms[lo] + 0.5
-        live = np.flatnonzero(best.q_norm * norms[lo] + slack >= best.floor)
+class _Candidates:
+    """Vectors, longest first, with their rotated heads."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, norms: np.ndarray, turn: np.ndarray, head: int):
+        order = np.argsort(-norms, kind="stable")
+        self.x, self.ids, self.norms = x[order], ids[order], norms[order]
+        self.head = np.concatenate([_with_rest(self.x[lo : lo + 8 * STEP] @ turn, head) for lo in range(0, max(1, len(x)), 8 * STEP)])
+
+
+def _scan(best: _Best, own: _Candidates) -> None:
+    """Lets ``best`` meet the candidates, longest first."""
+    for lo in range(0, len(own.x), STEP):
+        slack = 1e-9 * best.q_norm * own.norms[lo] + 0.5
+        live = np.flatnonzero(best.q_norm * own.norms[lo] + slack >= best.floor)
         if not len(live):
             return  # all later ones are no longer
+        part = slice(lo, lo + STEP)
         for at in range(0, len(live), STEP):
-            _tile(best, live[at : at + STEP], slack, x[lo : lo + STEP], x_head[lo : lo + STEP], ids[lo : lo + STEP])
+            _tile(best, live[at : at + STEP], slack, own.x[part], own.head[part], own.ids[part])
 
 
 def _tile(best: _Best, live: np.ndarray, slack: np.ndarray, x: np.ndarray, x_head: np.ndarray, ids: np.ndarray) -> None:
@@ -163,45 +179,72 @@ def _tile(best: _Best, live: np.ndarray, slack: np.ndarray, x: np.ndarray, x_hea
     best.add(live[a[good]], s[good], ids[b[good]])
 
 
+def write_queries(queries: DataFrame, folder: str, k: int, d: int, head: int, turn, seeds, block: int) -> list[str]:
+    """Paths of blocks of queries (vec_id, v) and the floors that ``seeds`` give them; tasks write them."""
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        longest = _Candidates(*seeds.value, turn.value, head)
+        ids: list[int] = []
+        vs: list[bytes] = []
+        for last in (False, True):
+            for batch in () if last else batches:
+                ids += batch.column("vec_id").to_pylist()
+                vs += batch.column("v").to_pylist()
+                if len(ids) >= block:
+                    yield from put(fs, root, longest, ids, vs, len(ids) // block * block)
+            if last and ids:
+                yield from put(fs, root, longest, ids, vs, len(ids))
+
+    def put(fs, root, longest, ids, vs, n):
+        for lo in range(0, n, block):
+            hi = min(n, lo + block)
+            q, qid = _stack(pa.array(vs[lo:hi], pa.binary()), d), np.array(ids[lo:hi], np.int64)
+            first = _Best(q, qid, k, np.full(len(qid), -np.inf), turn.value, head)
+            _scan(first, longest)
+            body, path = io.BytesIO(), f"{root}/{uuid.uuid4().hex}"
+            np.savez(body, q=q, qid=qid, floor=first.floor)
+            with fs.open_output_stream(path, compression=None) as out:
+                out.write(body.getbuffer())
+            yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+        del ids[:n], vs[:n]
+
+    return sorted(r["path"] for r in staged(queries.mapInArrow(run, "path string"), "query-manifest").collect())  # one row a block
+
+
 def top_k(vectors: DataFrame, k: int = 20, scale: int = SCALE, query_mod: int = 20, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest products of each vector whose id ``query_mod`` divides."""
     spark = vectors.sparkSession
-    own = integer_vectors(vectors, scale, query_mod)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ids break ties of length, so equal vectors spread over the ranges
-    own = staged(own.repartitionByRange(n, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"), "vectors")
-    d = own.agg(F.max("dims")).first()[0] or 0
+    own = staged(integer_vectors(vectors, scale, query_mod), "integers")
+    d, rows = own.agg(F.max("dims"), F.count("*")).first()
     queries = own.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = queries.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not total or not d:
-        return empty
-    turn = rotation(own, d)
+    if not d:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     head = min(HEAD, d)
-    seeds = own.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v", "norm").toArrow()
-    sx, sid, sn = _stack(seeds.column("v").combine_chunks(), d), seeds.column("vec_id").to_numpy(), seeds.column("norm").to_numpy()
-    blocks = -(-total // query_block)
-    results = []
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        if not block.num_rows:
-            continue
-        q, qid = _stack(block.column("v").combine_chunks(), d), block.column("vec_id").to_numpy()
-        first = _Best(q, qid, k, np.full(len(qid), -np.inf), turn, head)
-        _scan(first, sx, sid, sn)
-        shared = spark.sparkContext.broadcast((q, qid, first.floor, turn))
-
-        def run(batches, shared=shared):
-            q, qid, floor, turn = shared.value
-            best = _Best(q, qid, k, floor, turn, head)
-            for batch in batches:
-                _scan(best, _stack(batch.column("v"), d), batch.column("vec_id").to_numpy(), batch.column("norm").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (qid[best.owner], best.vec, best.score)], ["query_id", "vec_id", "score"])
-
-        results.append(own.select("vec_id", "v", "norm").mapInArrow(run, "query_id long, vec_id long, score long"))
-    found = results[0]
-    for r in results[1:]:
-        found = found.unionByName(r)
+    turn = spark.sparkContext.broadcast(rotation(own, d))
+    longest = own.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v", "norm").toArrow()
+    seeds = spark.sparkContext.broadcast((_stack(longest.column("v").combine_chunks(), d), longest.column("vec_id").to_numpy(), longest.column("norm").to_numpy()))
+    folder = fresh_path(spark, "queries")
+    paths = write_queries(queries, folder, k, d, head, turn, seeds, query_block)
+
+    def run(batches):
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        parts = [(_stack(b.column("v"), d), b.column("vec_id").to_numpy(), b.column("norm").to_numpy()) for b in batches if len(b)]
+        if not parts:
+            return
+        mine = _Candidates(*map(np.concatenate, zip(*parts)), turn.value, head)
+        for path in paths:
+            with fs.open_input_stream(path, compression=None) as source:
+                held = np.load(io.BytesIO(source.read()))
+            best = _Best(held["q"], held["qid"], k, held["floor"], turn.value, head)
+            _scan(best, mine)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (best.ids[best.owner], best.vec, best.score)], ["query_id", "vec_id", "score"])
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * d * 8 // RANGE))
+    # ids break ties of length, so equal vectors spread over the ranges
+    ranges = own.select("vec_id", "v", "norm").repartitionByRange(n, F.desc("norm"), "vec_id")
+    found = ranges.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
