@@ -64,7 +64,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     own = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), canonical().alias("key"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     own = own.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "key")
-    tried = bloom.probe(own, "key", bloom.build(keys, "key", n), n)
+    # written once, without the pages' other columns: both branches read it
+    tried = staged(bloom.probe(own, "key", bloom.build(keys, "key", n), n), "tried")
     passed = tried.where("maybe").join(keys.withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     out = tried.where("not maybe").withColumn("listed", F.lit(False)).select("page_id", "host", "path", "rule", "verdict", "listed")
     out = out.unionByName(passed.select(*out.columns))
