@@ -4,23 +4,24 @@ Features are TF-IDF weights of hashed character n-grams (1 to 3 characters of
 the lower-cased text, in ``2 ** BITS`` slots).  Document frequencies are
 counted over all rows that may teach.  The weights are trained with follow the
 regularised leader (per-coordinate FTRL-Proximal) under L1 and L2 penalties on
-a bounded sample (``PER_LANGUAGE`` texts of a language, of ``LANGUAGES``
-languages at most, picked by a hash of the row); a fifth of it calibrates one
-temperature and the rejection threshold.  Whole texts are read in training and
-prediction.
+a bounded sample of each language (about ``PER_LANGUAGE`` texts, picked by a hash of the
+row), of all languages however many; the model holds ``2 ** BITS`` weights a language.  Of
+each language the second and every fifth row after it, by that hash, calibrate one
+temperature and the rejection threshold and train nothing; a language of one row only trains.
+Whole texts are read in training and prediction; the driver gets their n-gram weights, not the texts.
 
 Rejection (``keep_known``) looks at the best language's logit before the
 temperature, the evidence: what a text's n-grams say for a language at all.  The
 score says only which language is the likeliest of those learned, so random
 letters reach scores near 1.  The threshold is the evidence that 99 % of texts of
-random letters, as long as the calibrating ones, stay below, and never more than
+random letters, as long as the calibrating ones (``NOISE`` characters at most), stay below, and never more than
 the least evidence of a calibrating text whose language is recognised.
 
 Defined cases: a null text and one without a letter are ``und`` with score 0;
 null languages teach nothing; without any labelled row all predictions are
 ``und``; with one language all other texts get it, score 1; extra columns are
-ignored.  With one language there is no evidence, so every text with a letter is
-kept.
+ignored by ``predict`` and kept by ``keep_known``, whatever their names.  With one language, or without a
+calibrating row, the threshold is 0, and texts with a letter are judged by the sign of their evidence.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .common import held_out, table
 BITS = 15
 SLOTS = 1 << BITS
 PER_LANGUAGE = 500
-LANGUAGES = 256
+NOISE = 4096
 UND = "und"
 
 
@@ -138,18 +139,18 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def noise(texts: list[str], seed: int = 11) -> list[str]:
-    """Texts of random letters, of the alphabet and the lengths of ``texts``."""
+def noise(lengths: list[int], letters: str, seed: int = 11) -> list[str]:
+    """Texts of random ``letters``, as long as ``lengths`` tell."""
     rng = np.random.default_rng(seed)
-    letters = np.array(sorted({c for t in texts for c in set(t.lower()) if c.isalpha()}) or ["a"])
-    return ["".join(np.where(rng.random(len(t)) < 0.15, " ", rng.choice(letters, len(t)))) for t in texts]
+    signs = np.array(sorted(set(letters)) or ["a"])
+    return ["".join(np.where(rng.random(n) < 0.15, " ", rng.choice(signs, n))) for n in lengths]
 
 
-def fit_floor(model: LanguageModel, held, texts: list[str]) -> float:
-    """The rejection threshold from calibrating rows ((slots, weights), class) and their texts."""
+def fit_floor(model: LanguageModel, held, lengths: list[int], letters: str) -> float:
+    """The rejection threshold from calibrating rows ((slots, weights), class) and the lengths of their texts."""
     evidence = np.array([x @ model.weights[a] for (a, x), _ in held])
     right = evidence.argmax(axis=1) == np.array([y for _, y in held])
-    random = np.quantile([model.logits(t).max() for t in noise(texts)], 0.99)
+    random = np.quantile([model.logits(t).max() for t in noise(lengths, letters)], 0.99)
     # a little less, for rounding
     return float(min(random, evidence.max(axis=1)[right].min() * 0.999)) if right.any() else 0.0
 
@@ -172,27 +173,58 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:SLOTS], int(out[SLOTS])
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
+def sample_rows(picked: DataFrame, idf: np.ndarray) -> list[dict]:
+    """(lang, h, n, letters, slots, weights) of each text of ``picked`` (text, lang, h) that has a letter."""
+    schema = "lang string, h long, n long, letters string, slots array<int>, weights array<float>"
+    shared = picked.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+
+    def run(batches):
+        for batch in batches:
+            for text, lang, h in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("lang", "h"))):
+                text = text.as_py()
+                if not has_letter(text):
+                    continue
+                at, w = weights_of(text, shared.value)
+                letters = "".join(sorted({c for c in set(text.lower()) if c.isalpha()}))
+                row = ([lang], [h], [len(text)], [letters], [at.astype(np.int32)], [w.astype(np.float32)])
+                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], ["lang", "h", "n", "letters", "slots", "weights"])
+
+    got = picked.mapInArrow(tidy(run), schema).toArrow()
+    shared.destroy()
+    out = got.drop_columns(["slots", "weights"]).to_pylist()
+    for r, at, w in zip(out, got.column("slots"), got.column("weights")):
+        r |= {"slots": at.values.to_numpy().astype(np.int64), "weights": w.values.to_numpy().astype(np.float64)}
+    return sorted(out, key=lambda r: (r["lang"], r["h"], r["n"]))
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model of ``docs`` (doc_id, text, lang) that may teach; held-out rows never do."""
     taught = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return LanguageModel([], np.ones(SLOTS))
     df, n_docs = document_frequencies(taught.select("text"))
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
-    # a share of each language's rows that makes per_language of them, by their hash
+    # a share of each language's rows that makes per_language of them, by their hash; equal rows count once
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))))
-    picked = taught.where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share[F.col("lang")])
-    sample = picked.orderBy("h").limit(2 * per_language * len(counts)).select("text", "lang").toArrow().to_pylist()
+    picked = taught.where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share[F.col("lang")]).distinct()
     names = sorted(counts)
     at = {k: i for i, k in enumerate(names)}
-    sample = [r for r in sample if has_letter(r["text"])]
-    rows = [(weights_of(r["text"], idf), at[r["lang"]]) for r in sample]
-    held, texts = (x[::5] if len(rows) >= 50 else x for x in (rows, [r["text"] for r in sample]))
-    model = LanguageModel(names, idf, train_ftrl([r for i, r in enumerate(rows) if i % 5] if len(rows) >= 50 else rows, len(names)))
+    rows, held, lengths, letters, nth = [], [], [], set(), dict.fromkeys(names, 0)
+    for r in sample_rows(picked, idf):
+        one = ((r["slots"], r["weights"]), at[r["lang"]])
+        if nth[r["lang"]] % 5 == 1:
+            held.append(one)
+            lengths.append(min(r["n"], NOISE))
+            letters |= set(r["letters"])
+        else:
+            rows.append(one)
+        nth[r["lang"]] += 1
+    model = LanguageModel(names, idf, train_ftrl(rows, len(names)))
     if held and len(names) > 1:
         model.temperature = fit_temperature(np.array([x @ model.weights[a] for (a, x), _ in held]), np.array([y for _, y in held]))
-        model.floor = fit_floor(model, held, texts)
+        model.floor = fit_floor(model, held, lengths, "".join(letters))
     model.idf, model.weights = idf.astype(np.float32), model.weights.astype(np.float32)
     return model
 
