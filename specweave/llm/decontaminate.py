@@ -3,7 +3,7 @@
 Texts and benchmark items are windows of words (runs of ASCII letters, digits
 and all non-ASCII characters, lower-cased) in a hashed TF-IDF space; document
 frequencies are counted over all documents.  A distributed randomised SVD of
-the items and a bounded sample of passages (``SAMPLE`` documents, picked by a
+the items and a bounded sample of passages (about ``SAMPLE`` distinct texts, picked by a
 hash; every passage is searched) gives a latent space.  Each word has a latent
 vector, so the vector of any window is a difference of running sums, and every
 window of a document meets the items by cosine, in blocks.  Besides, windows around
@@ -14,27 +14,34 @@ subsequence covers ``COPY`` of the item's words, or ``PARAPHRASE`` of them
 while the item's answer is there too.
 
 The answer is the column ``answer`` of the benchmark where it has one, else the
-item's last sentence.  No rows are shuffled but counts; the model is 2**BITS x
-RANK numbers at most and items go round in blocks of ``ITEM_BLOCK``.
+item's last sentence.
+
+One pass over the documents serves any number of items: executors write the items, equal ones
+once, as blocks of about ``ITEM_BLOCK`` in the shared folder, and a task reads them in turn,
+holding ``HELD_BLOCKS``.  What is broadcast is the latent space, 2**BITS x RANK numbers at most.
+Texts are searched in stretches of ``STRETCH`` words.  No texts are shuffled but the sample.
 
 Defined cases: null and empty texts leak nothing; items that are null or
 without words match nothing; items of fewer than five words match only where
 their words stand consecutively; rows repeated with one doc_id or item_id
-count one by one (equal result rows are folded); an empty table gives no rows;
-extra columns are ignored.
+count one by one; an empty table gives no rows; extra columns are ignored by
+``find_leaks`` and kept by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALPHANUMERIC, Words, chunks, mix64, text_bytes, tidy, words_of
-from .common import staged, table
+from .common import fresh_path, staged, table
 
 BITS = 15
 SLOTS = 1 << BITS
@@ -47,7 +54,13 @@ COSINE = 0.45
 LEXICAL = 0.35
 COPY = 0.8
 PARAPHRASE = 0.6
-ITEM_BLOCK = 1024
+ITEM_BLOCK = 4096
+#: Blocks of items that a task holds at a time.
+HELD_BLOCKS = 4
+#: Words of a text that are searched at a time.
+STRETCH = 1 << 15
+#: Bits that tell which words an item may hold, by the last bits of their slots.
+HELD_BITS = 4096
 SHORT = 5
 _SENTENCE = re.compile(r"[.!?]+\s+")
 
@@ -114,7 +127,7 @@ def _passages(batches, idf, width: int):
 def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(Y'Y, A'Y) of the passages A and Y = A ``test``: each task adds up its own, sums are added by slot."""
     l = test.shape[1]  # noqa: E741
-    shared = texts.sparkSession.sparkContext.broadcast((idf, test))
+    shared = texts.sparkSession.sparkContext.broadcast((idf.astype(np.float32), test.astype(np.float32)))
     cols = [f"c{j}" for j in range(l)]
 
     def run(batches):
@@ -127,7 +140,9 @@ def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray, width: int) ->
         at = np.flatnonzero(back.any(axis=1))
         keys = np.concatenate((at, -1 - np.arange(l)))
         rows = np.concatenate((back[at], gram))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(rows[:, j]) for j in range(l))], ["slot", *cols])
+        for lo in range(0, len(keys), 2048):
+            part = rows[lo : lo + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 2048], pa.int64()), *(pa.array(part[:, j]) for j in range(l))], ["slot", *cols])
 
     got = texts.mapInArrow(tidy(run), "slot long, " + ", ".join(f"{c} double" for c in cols)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
     shared.destroy()
@@ -170,14 +185,14 @@ class Item:
             parts = [p for p in _SENTENCE.split(text or "") if p.strip()]
             answer = parts[-1] if parts else ""
         self.answer = text_words(answer)
-        self.masks: dict[int, int] = {}
-        for i, w in enumerate(self.words.tolist()):
-            self.masks[w] = self.masks.get(w, 0) | 1 << i
 
     def common(self, region: list[int]) -> int:
         """Length of the longest common subsequence with ``region`` (bit-parallel)."""
+        masks: dict[int, int] = {}
+        for i, w in enumerate(self.words.tolist()):
+            masks[w] = masks.get(w, 0) | 1 << i
         full = (1 << self.n) - 1
-        v, get = full, self.masks.get
+        v, get = full, masks.get
         for w in region:
             m = get(w)
             if m:
@@ -193,44 +208,50 @@ class Item:
         lcs = self.common(region.tolist())
         if lcs >= COPY * self.n:
             return "copy", lcs
-        if lcs >= PARAPHRASE * self.n and np.isin(self.answer, region).mean() >= COPY:
+        if lcs >= PARAPHRASE * self.n and len(self.answer) and np.isin(self.answer, region).mean() >= COPY:
             return "paraphrase", lcs
         return None
 
 
+class Space:
+    """The latent space: weights and vectors of all word slots, and of one more, empty slot that fills texts up."""
+
+    def __init__(self, idf: np.ndarray, values: np.ndarray, right: np.ndarray):
+        self.idf = np.append(idf, 0.0).astype(np.float32)
+        self.words = np.zeros((max(1, len(values)), SLOTS + 1), np.float32)
+        if len(values):
+            self.words[:, :SLOTS] = (idf[:, None] * right / np.maximum(values, 1e-9)).T
+
+
 class LatentIndex:
-    """Word vectors of the latent space and the items in it, by window width.
+    """A block of items in the latent space, by window width.
 
     Windows start at every fourth word at most; sums of four words carry all of them.
     """
 
-    def __init__(self, items: list[Item], idf: np.ndarray, values: np.ndarray, right: np.ndarray, cosine: float = COSINE):
+    def __init__(self, items: list[Item], space: Space, cosine: float = COSINE):
         self.items = [i for i in items if i.n]
-        self.cosine = cosine
-        self.idf = np.append(idf, 0.0).astype(np.float32)
-        rank = max(1, len(values))
-        # one more slot, of zeros, fills texts up to whole fours
-        self.words = np.zeros((rank, SLOTS + 1), np.float32)
-        if len(values):
-            self.words[:, :SLOTS] = (idf[:, None] * right / np.maximum(values, 1e-9)).T
-        self.held = np.zeros((len(self.items), SLOTS + 1), bool)
+        self.space, self.cosine = space, cosine
+        held = np.zeros((len(self.items), HELD_BITS), bool)
         for k, i in enumerate(self.items):
-            self.held[k, slots_of(i.words)] = True
-        self.weight = np.array([self.idf[slots_of(i.words)].sum() for i in self.items], np.float32)
+            held[k, slots_of(i.words) % HELD_BITS] = True
+        self.held = np.packbits(held, axis=1, bitorder="little")
+        self.weight = np.array([space.idf[slots_of(i.words)].sum() for i in self.items], np.float32)
         self.scales: list[tuple[int, np.ndarray, np.ndarray]] = []
         widths = np.array([max(4, 1 << round(float(np.log2(i.n)))) for i in self.items], int)
+        self.vectors = np.zeros((len(self.items), len(space.words)), np.float32)
         for width in sorted(set(widths.tolist())):
             own = np.flatnonzero(widths == width)
-            x = np.array([self.words[:, slots_of(self.items[k].words)].sum(axis=1) for k in own])
-            self.scales.append((width, own, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)))
+            x = np.array([space.words[:, slots_of(self.items[k].words)].sum(axis=1) for k in own])
+            self.vectors[own] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            self.scales.append((width, own))
 
         # by length: hashes of the heaviest run of each eight of an item, in order, with item and place in it
-        self.vectors: dict[int, np.ndarray] = {int(k): x for _, own, xs in self.scales for k, x in zip(own, xs)}
         self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         found: dict[int, list[tuple[int, int, int]]] = {}
         for k, i in enumerate(self.items):
             n = min(SHORT, i.n)
-            run, weight = runs_of(i.words, n), np.convolve(self.idf[slots_of(i.words)], np.ones(n), "valid")
+            run, weight = runs_of(i.words, n), np.convolve(space.idf[slots_of(i.words)], np.ones(n), "valid")
             places = [lo + int(weight[lo : lo + 8].argmax()) for lo in range(0, len(run), 8)]
             found.setdefault(n, []).extend((int(run[p]), k, p) for p in places)
         for n, rows in found.items():
@@ -238,13 +259,17 @@ class LatentIndex:
             key = np.array([r[0] for r in rows], np.uint64)
             some = np.zeros(1 << 18, bool)
             some[key >> np.uint64(46)] = True
-            self.runs[n] = some, key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            self.runs[n] = np.packbits(some, bitorder="little"), key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "space"}
 
     def copies(self, hashes: np.ndarray, at: np.ndarray):
         """(text, item, first word in the text, width, cosine) of windows that share a run of words with an item."""
         for n, (some, key, items, places) in self.runs.items():
             run = runs_of(hashes, n)
-            first = np.flatnonzero(some[run >> np.uint64(46)])
+            top = (run >> np.uint64(46)).astype(np.int64)
+            first = np.flatnonzero(some[top >> 3] >> (top & 7).astype(np.uint8) & 1)
             text = np.searchsorted(at, first, "right") - 1
             inside = first + n <= at[text + 1]
             first, text = first[inside], text[inside]
@@ -255,24 +280,49 @@ class LatentIndex:
                 for e in range(lo[j], hi[j]):
                     k = int(items[e])
                     start = min(max(0, int(first[j] - at[t]) - int(places[e])), size - 1)
-                    x = self.words[:, slots_of(hashes[at[t] + start : at[t] + min(size, start + self.items[k].n)])].sum(axis=1)
+                    x = self.space.words[:, slots_of(hashes[at[t] + start : at[t] + min(size, start + self.items[k].n)])].sum(axis=1)
                     yield t, k, start, self.items[k].n, float(self.vectors[k] @ x / max(float(np.linalg.norm(x)), 1e-9))
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray):
         """Arrays (text, item, first word in the text, width, cosine) of windows near an item.
 
-        Near: by cosine in the latent space, and then by the share of the item's
-        TF-IDF weight that the window's words hold.  Texts have words at[i] to at[i + 1].
+        Texts have words at[i] to at[i + 1].  Long ones are cut into stretches that overlap by
+        the widest window.
         """
+        overlap = max((width for width, _ in self.scales), default=0)
+        size = np.diff(at)
+        if not len(size) or size.max() <= STRETCH + overlap:
+            yield from self._near(hashes, at)
+            return
+        whole = np.flatnonzero(size <= STRETCH + overlap)
+        pieces = [(t, 0, int(size[t])) for t in whole.tolist()]
+        pieces += [(t, lo, min(lo + STRETCH + overlap, int(size[t]))) for t in np.flatnonzero(size > STRETCH + overlap).tolist() for lo in range(0, int(size[t]), STRETCH)]
+        while pieces:
+            n, words = 0, 0
+            while n < len(pieces) and (not n or words < STRETCH):
+                words += pieces[n][2] - pieces[n][1]
+                n += 1
+            now, pieces = pieces[:n], pieces[n:]
+            some = np.concatenate([hashes[at[t] + a : at[t] + b] for t, a, b in now])
+            places = np.concatenate(([0], np.cumsum([b - a for _, a, b in now])))
+            text, lo = np.array([t for t, _, _ in now]), np.array([a for _, a, _ in now])
+            for own, item, first, width, cosine in self._near(some, places):
+                yield text[own], item, first + lo[own], width, cosine
+
+    def _near(self, hashes: np.ndarray, at: np.ndarray):
+        """Near: by cosine in the latent space, and then by the share of the item's
+        TF-IDF weight that the window's words hold."""
+        idf, vectors = self.space.idf, self.space.words
         size = np.diff(at)
         fours = -(-size // 4)
         base = np.concatenate(([0], np.cumsum(fours)))
         slots = np.full(4 * base[-1], SLOTS, np.int64)
         slots[np.arange(len(hashes)) + np.repeat(4 * base[:-1] - at[:-1], size)] = slots_of(hashes)
-        sums = self.words[:, slots].reshape(len(self.words), -1, 4).sum(axis=2)
-        total = np.zeros((len(self.words), base[-1] + 1))
+        sums = vectors[:, slots].reshape(len(vectors), -1, 4).sum(axis=2)
+        total = np.zeros((len(vectors), base[-1] + 1))
         np.cumsum(sums, axis=1, out=total[:, 1:])
-        for width, own, items in self.scales:
+        del sums
+        for width, own in self.scales:
             step, wide = max(1, width // 16), width // 4
             # windows every step fours and one at the text's end
             count = np.where(fours > wide, -(-(fours - wide) // step) + 1, (fours > 0).astype(int))
@@ -281,19 +331,21 @@ class LatentIndex:
             start = base[:-1][text] + np.minimum(nth * step, np.maximum(fours[text] - wide, 0))
             end = np.minimum(start + wide, base[1:][text])
             inside = np.arange(width)
-            for lo in range(0, len(start), 8192):
-                part = slice(lo, lo + 8192)
+            many = max(1, (1 << 19) // width)
+            for lo in range(0, len(start), 4096):
+                part = slice(lo, lo + 4096)
                 x = (total[:, end[part]] - total[:, start[part]]).astype(np.float32)
                 x /= np.maximum(np.sqrt((x * x).sum(axis=0)), 1e-9)
-                for b in range(0, len(items), 1024):
-                    cosine = items[b : b + 1024] @ x
+                for b in range(0, len(own), 512):
+                    cosine = self.vectors[own[b : b + 512]] @ x
                     k, i = np.nonzero(cosine >= self.cosine)
-                    for c in range(0, len(k), 1 << 15):
-                        kk, ii = k[c : c + (1 << 15)], i[c : c + (1 << 15)]
+                    for c in range(0, len(k), many):
+                        kk, ii = k[c : c + many], i[c : c + many]
                         item, first = own[b + kk], start[lo + ii]
                         words = slots[np.minimum(4 * first[:, None] + inside, len(slots) - 1)]
                         words[inside[None, :] >= 4 * (end[lo + ii] - first)[:, None]] = SLOTS
-                        share = (self.held[item[:, None], words] * self.idf[words]).sum(axis=1)
+                        bit = words % HELD_BITS
+                        share = ((self.held[item[:, None], bit >> 3] >> (bit & 7).astype(np.uint8) & 1) * idf[words]).sum(axis=1)
                         good = share >= LEXICAL * self.weight[item]
                         if good.any():
                             t = text[lo + ii[good]]
@@ -318,67 +370,111 @@ class LatentIndex:
                     break
 
 
-def _items(benchmark: DataFrame, block: int = ITEM_BLOCK):
-    """Blocks of items; each block is bounded, whatever the benchmark."""
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")).alias("answer"))
-    n = max(1, -(-own.count() // block))
-    for b in range(n):
-        part = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toArrow().to_pylist()
-        yield [Item(r["item_id"], r["text"], r["answer"]) for r in part]
-
-
-def build_indexes(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE) -> list[LatentIndex]:
-    """One index for each block of items, all in one latent space."""
+def fit_space(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> Space:
+    """The latent space of all items and a bounded sample of the distinct texts of ``docs``."""
     own = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     idf = word_frequencies(own)
     n = max(1, own.count())
-    picked = own.where((F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))) < min(1.0, sample / n)).limit(4 * sample)
+    picked = own.where((F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))) < min(1.0, sample / n)).distinct()
     fit_on = staged(picked.unionByName(benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")), "passages")
-    values, right = randomised_svd(fit_on, idf)
-    return [LatentIndex(items, idf, values, right, cosine) for items in _items(benchmark)]
+    return Space(idf, *randomised_svd(fit_on, idf))
+
+
+class Search:
+    """The items of ``benchmark`` (item_id, text and maybe answer), ready to be searched for."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE, block: int = ITEM_BLOCK):
+        spark = docs.sparkSession
+        answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+        self.listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+        own = self.listed.select("text", "answer").where("text is not null").distinct()
+        #: (k, text, answer): items that differ, numbered
+        self.items = staged(own.withColumn("k", F.monotonically_increasing_id()), "items")
+        space = fit_space(docs, benchmark, sample)
+        self.folder, self.shared = fresh_path(spark, "item-blocks"), spark.sparkContext.broadcast(space)
+        self.paths = self._write(cosine, block)
+
+    def _write(self, cosine: float, block: int) -> list[str]:
+        folder, shared = self.folder, self.shared
+
+        def run(batches):
+            fs, root = pafs.FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            rows: list[tuple] = []
+
+            def put() -> str:
+                path = f"{root}/{uuid.uuid4().hex}"
+                with fs.open_output_stream(path, compression=None) as out:
+                    out.write(pickle.dumps(LatentIndex([Item(*r) for r in rows], shared.value, cosine)))
+                rows.clear()
+                return path
 
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE) -> DataFrame:
+            for batch in batches:
+                for r in zip(*(batch.column(c).to_pylist() for c in ("k", "text", "answer"))):
+                    rows.append(r)
+                    if len(rows) == block:
+                        yield pa.RecordBatch.from_arrays([pa.array([put()])], ["path"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([put()])], ["path"])
+
+        n = max(1, -(-self.items.count() // block))
+        done = staged(self.items.repartition(n).mapInArrow(tidy(run), "path string"), "item-manifest")
+        return sorted(r["path"] for r in done.collect())  # one row a block
+
+    def found(self, batches):
+        """(batch, (row, item, first word, common words, kind, cosine) of each leak) for batches with ``text``; for tasks."""
+        fs, _ = pafs.FileSystem.from_uri(self.folder)
+        held: dict[str, LatentIndex] = {}
+        for batch in batches:
+            body, offsets = text_bytes(batch.column("text"))
+            parts = [(lo, (w := words_of(body, offsets, lo, hi, ALPHANUMERIC)).hash, w.at) for lo, hi in chunks(offsets)]
+            out = []
+            for path in self.paths:
+                if path not in held:
+                    while len(held) >= HELD_BLOCKS:
+                        held.pop(next(iter(held)))
+                    with fs.open_input_stream(path, compression=None) as source:
+                        held[path] = pickle.loads(source.read())
+                    held[path].space = self.shared.value
+                out += [(lo + t, *leak) for lo, hashes, at in parts for t, *leak in held[path].leaks(hashes, at)]
+            yield batch, out
+
+    def __getstate__(self):
+        return {"folder": self.folder, "shared": self.shared, "paths": self.paths}
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE, block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, first_word, item_words, common_words, kind, cosine): one row for each document and item it leaks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, first_word long, item_words long, common_words long, kind string, cosine double"
+    schema = "doc_id long, k long, first_word long, item_words long, common_words long, kind string, cosine double"
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.int64()] * 5 + [pa.string(), pa.float64()]
-    out = None
-    for index in build_indexes(docs, benchmark, sample, cosine):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    search = Search(docs, benchmark, sample, cosine, block)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                body, offsets = text_bytes(batch.column("text"))
-                for lo, hi in chunks(offsets):
-                    w = words_of(body, offsets, lo, hi, ALPHANUMERIC)
-                    found = [(ids[lo + t], i.item_id, first, i.n, lcs, kind, cos) for t, i, first, lcs, kind, cos in shared.value.leaks(w.hash, w.at)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+    def run(batches):
+        for batch, leaks in search.found(batches):
+            ids = batch.column("doc_id").to_pylist()
+            found = [(ids[row], i.item_id, first, i.n, lcs, kind, cos) for row, i, first, lcs, kind, cos in leaks]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
-        part = rows.mapInArrow(tidy(run), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    # each item that differs stands for all benchmark rows equal to it
+    same = [search.listed["text"].eqNullSafe(search.items["text"]), search.listed["answer"].eqNullSafe(search.items["answer"])]
+    members = search.listed.join(search.items, same).select("k", "item_id")
+    return rows.mapInArrow(tidy(run), schema).join(members, "k").select("doc_id", "item_id", *names[2:])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item."""
-    for index in build_indexes(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    search = Search(docs, benchmark)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                body, offsets = text_bytes(batch.column("text"))
-                keep = np.ones(len(batch), bool)
-                for lo, hi in chunks(offsets):
-                    w = words_of(body, offsets, lo, hi, ALPHANUMERIC)
-                    keep[[lo + t for t, *_ in shared.value.leaks(w.hash, w.at)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(tidy(run), docs.schema)
-    return docs
+    def run(batches):
+        for batch, leaks in search.found(batches):
+            keep = np.ones(len(batch), bool)
+            keep[[row for row, *_ in leaks]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
