@@ -14,7 +14,9 @@ components; links inside a component can't change the result.
 Defined cases: a null or blank text has no shingles and no links; a text of
 fewer than ``k`` words has one shingle, the whole sequence; rows repeated with
 one doc_id are judged by their own texts; a null doc_id is never the least of
-a component unless it has no other; extra columns are ignored.
+a component unless it has no other; an empty table gives no rows; extra columns are
+ignored, and kept by ``keep_one``, whatever their names.  Sets are compared by
+64-bit hashes of their shingles, so a link is exact but for clashes of hashes.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .components import connected_components
 COORDINATES = 256
 #: Largest chance that a pair at the threshold shares no band.
 MISS = 5e-5
+#: Partners of one class that are compared with it in one task.
+PARTNERS = 64
 
 
 def banding(threshold: float, coordinates: int = COORDINATES, miss: float = MISS) -> tuple[int, int]:
@@ -255,22 +259,26 @@ class NearDuplicates:
         return staged(found, "sets")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        with_b = pairs.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = with_b.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
-        return overlap_table(both).where(_linked(self.percent)).select("a", "b").distinct()
+        """The linked ones of ``pairs`` (a, b).  A class with many partners meets them in blocks of about ``PARTNERS``."""
+        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
+        dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select("a", "b", "block")
+        firsts = many.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        firsts = firsts.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
+        with_b = dealt.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
+        return overlap_table(with_b.join(firsts, ["a", "block"])).where(_linked(self.percent)).select("a", "b").distinct()
 
     def named_classes(self) -> DataFrame:
-        """(cls, component_id) of all classes."""
+        """(cls, component_id, root) of all classes; root numbers the component."""
         roots = connected_components(self.links).select(F.col("node").alias("c"), "root")
         of = self.classes.select("c", "cls", "rep").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-        return of.join(least, "root").select("cls", "component_id")
+        return of.join(least, "root").select("cls", "component_id", "root")
 
     def members(self) -> DataFrame:
-        """(doc_id, h, n_shingles, cls, component_id, kept) for each row of the input."""
+        """(doc_id, h, n_shingles, cls, component_id, root, kept) for each row of the input."""
         own = F.coalesce("component_id", "doc_id")
         out = self.rows.join(self.named_classes(), "cls", "left")
-        return out.select("doc_id", "h", "n_shingles", "cls", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+        return out.select("doc_id", "h", "n_shingles", "cls", own.alias("component_id"), "root", own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) for each row of the input."""
@@ -278,23 +286,29 @@ class NearDuplicates:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each component; of rows repeated whole, one.
+    """``docs``, all columns, with one document of each component: that with the least doc_id, of
+    several such rows one whose text's hash is least.
 
-    Only rows that a bounded Bloom filter can't clear are shuffled.
+    Only rows that a bounded Bloom filter can't clear are shuffled.  Rows travel as one
+    struct, so their columns may have any names.
     """
     rows = NearDuplicates(docs, k, percent).members().where("cls is not null")
-    marks = rows.groupBy("doc_id", "h").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
-    marks = staged(marks.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "stays", F.xxhash64("doc_id", "h").alias("__key")), "marks")
+    each = staged(rows.groupBy("doc_id", "h", "root").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "documents")
+    kept = each.where("kept")
+    first = kept.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    kept = kept.join(first, "root").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))).drop("first")
+    marks = kept.unionByName(each.where("not kept").withColumn("stays", F.lit(False))).where("not stays or n > 1")
+    marks = marks.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"))
+    marks = staged(marks.select("doc_id", "h", "stays", F.xxhash64("doc_id", "h").alias("key")), "marks")
     n = bloom.blocks_for(marks.count())
-    own = docs.withColumn("__t", F.xxhash64(F.col("text").cast("string"))).withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), "__t"))
-    tried = bloom.probe(own, "__k", bloom.build(marks, "__key", n), n, "__maybe")
-    clear = tried.where("not __maybe").select(*docs.columns)
-    named = marks.select("__d", "__h", F.col("__key").alias("__k"), F.col("stays").alias("__stays"))
-    rest = tried.where("__maybe").join(named, "__k", "left")
-    same = F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("__t"))
-    alone = rest.where(F.col("__stays").isNull()).select(*docs.columns)
-    once = rest.where(F.col("__stays") & same).dropDuplicates(["__k", "__t"]).select(*docs.columns)
-    return clear.unionByName(alone).unionByName(once)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    tried = bloom.probe(own.withColumn("key", F.xxhash64("doc_id", "h")), "key", bloom.build(marks, "key", n), n)
+    named = marks.select("key", F.col("doc_id").alias("d"), F.col("h").alias("g"), "stays")
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h"))
+    rest = tried.where("maybe").join(named, "key", "left").withColumn("stays", F.when(same, F.col("stays")))
+    once = rest.where("stays").dropDuplicates(["key", "h"])
+    return tried.where("not maybe").select("row").union(rest.where("stays is null").select("row")).union(once.select("row")).select("row.*")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
