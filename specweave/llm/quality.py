@@ -10,7 +10,8 @@ log priors, computed with cached Cholesky factors.
 Defined cases: a null text counts as empty and gets a score; labels other than
 0 and 1, or null, train nothing; several labels of one doc_id each count; with
 one class only, or none, every score is 1 or the share of ones, 0.5 without
-labels; extra columns are ignored.
+labels; rows repeated with one doc_id each count and each get a score; an empty table gives no rows;
+extra columns are ignored, and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,11 +53,10 @@ def _of_chunk(body: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.nda
     a = int(offsets[lo])
     raw, at = body[a : int(offsets[hi])], offsets[lo : hi + 1] - a
     kinds = _CLASSES[raw]
-    count = np.empty((8, hi - lo))
-    for k in range(8):
-        total = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(kinds == k, out=total[1:])
-        count[k] = total[at[1:]] - total[at[:-1]]
+    count = np.zeros((8, hi - lo))
+    some = np.flatnonzero(at[1:] > at[:-1])
+    for k in range(8 if len(some) else 0):
+        count[k, some] = np.add.reduceat(kinds == k, at[some], dtype=np.int64)
     upper, lower, digits, stops, symbols, lines, wide = count[1:]
     n_words = np.diff(words.at).astype(float)
     n_bytes = np.diff(at).astype(float)
