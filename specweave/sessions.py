@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session may lack the setting; it then gets a folder of its own.
+    """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -19,11 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    target, store = _file_system(spark, path)
+    store.deleteOnExit(target)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for df in frames:
+        target, store = _file_system(df.sparkSession, df.staged_path)
+        store.delete(target, True)
