@@ -7,44 +7,19 @@ committed by Spark's writer) and is visible to every machine.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sessions
+from ..sessions import discard, fresh_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may lack the setting; it then gets a folder of its own.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="specweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+__all__ = ["bounded_batches", "discard", "fresh_path", "held_out", "id_bucket", "shared_dir", "staged", "table"]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bounded_batches(df.sparkSession)
+    return sessions.staged(df, label)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 #: Edges of a round in one file, and files at least.
 FILE_EDGES, FILES = 500_000, 6
@@ -46,4 +46,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark
         # a round's edges go into few files, however many partitions its joins had
         files = max(FILES, -(-mark[0] // FILE_EDGES))
-        now = staged(_small_star(_large_star(now).distinct()).where("a <> b").distinct().repartition(files), "edges")
+        last, now = now, staged(_small_star(_large_star(now).distinct()).where("a <> b").distinct().repartition(files), "edges")
+        discard(last)
