@@ -7,13 +7,18 @@ committed by Spark's writer) and is visible to every machine.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sessions
 from ..sessions import discard, fresh_path, shared_dir
+from .bytewords import tidy
 
-__all__ = ["bounded_batches", "discard", "fresh_path", "held_out", "id_bucket", "shared_dir", "staged", "table"]
+__all__ = ["bounded_batches", "discard", "filter_texts", "fresh_path", "held_out", "id_bucket", "shared_dir", "staged", "table"]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -42,3 +47,26 @@ def id_bucket(column: str | Column, n: int = 3) -> Column:
 def held_out(column: str | Column = "doc_id") -> Column:
     """Rows that no classifier may learn from."""
     return id_bucket(column) == 1
+
+
+def filter_texts(docs: DataFrame, judge: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, that ``judge`` keeps.
+
+    ``judge`` runs in tasks: it gets batches with the one column ``text`` and yields a truth value for each row of each.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+
+    def run(batches):
+        waiting: deque = deque()
+
+        def texts():
+            for batch in batches:
+                waiting.append(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(text).cast(pa.string())], ["text"])
+
+        for keep in judge(texts()):
+            yield waiting.popleft().filter(pa.array(keep, pa.bool_()))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)

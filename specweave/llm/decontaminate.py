@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALPHANUMERIC, Words, chunks, mix64, text_bytes, tidy, words_of
-from .common import fresh_path, staged, table
+from .common import filter_texts, fresh_path, staged, table
 
 BITS = 15
 SLOTS = 1 << BITS
@@ -468,13 +468,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item."""
     search = Search(docs, benchmark)
 
-    def run(batches):
+    def judge(batches):
         for batch, leaks in search.found(batches):
             keep = np.ones(len(batch), bool)
             keep[[row for row, *_ in leaks]] = False
-            yield batch.filter(pa.array(keep))
+            yield keep
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return filter_texts(docs, judge)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import mix64, tidy
-from .common import held_out, table
+from .common import filter_texts, held_out, table
 
 BITS = 15
 SLOTS = 1 << BITS
@@ -249,12 +249,12 @@ def keep_known(docs: DataFrame, languages: tuple[str, ...] | None = None, least:
     """The rows of ``docs``, all columns, in a learned language (or one of ``languages``) by evidence, with score ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    def run(batches):
+    def judge(batches):
         for batch in batches:
             found = [shared.value.judge(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array([known and score >= least and (languages is None or name in languages) for name, score, known in found], pa.bool_()))
+            yield [known and score >= least and (languages is None or name in languages) for name, score, known in found]
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return filter_texts(docs, judge)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .bytewords import NOT_SPACE, chunks, mix64, shingle_set, text_bytes, tidy, words_of
-from .common import staged
+from .common import discard, staged
 from .components import connected_components
 
 COORDINATES = 256
@@ -228,11 +228,13 @@ class NearDuplicates:
         left = staged(left.join(self.classes.select("c", "n"), "c"), "members")
         several = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         open_ = left.join(several, "key").select("c", "n", "root").distinct()
-        pairs = self._across(open_, sets).join(star, ["a", "b"], "left_anti")
-        return staged(links.unionByName(self._verified(pairs, sets)), "links")
+        pairs, used = self._across(open_, sets)
+        out = staged(links.unionByName(self._verified(pairs.join(star, ["a", "b"], "left_anti"), sets)), "links")
+        discard(shared, star, sets, links, left, *used)
+        return out
 
-    def _across(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs (a, b) of open classes in different components that may be linked.
+    def _across(self, open_: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Pairs (a, b) of open classes in different components that may be linked, and the tables that they come from.
 
         Exact prefix, length and positional filters: with each set in one global order,
         rare shingles first, the first shingle that two linked sets share stands so early
@@ -246,7 +248,7 @@ class NearDuplicates:
         x, y = rows.where("root <> main").alias("x"), rows.alias("y")
         fits = f"least(x.n - x.pos, y.n - y.pos) * {100 + self.percent} >= {self.percent} * (x.n + y.n)"
         met = x.join(y, F.expr(f"x.shingle = y.shingle and x.root <> y.root and {fits}"))
-        return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+        return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct(), [own, front]
 
     def _sets_of(self, wanted: DataFrame) -> DataFrame:
         """(c, shingles) of the classes in ``wanted``, made anew from the texts of their least documents."""
@@ -256,7 +258,9 @@ class NearDuplicates:
         # rows repeated with one doc_id may differ: the set itself tells its class
         texts = near.select("h", "text").join(reps.select("h"), "h", "left_semi").groupBy("h", "text").agg(F.count("*")).select("text")
         found = shingle_table(texts, self.k).join(reps.select("c", "cls"), "cls").select("c", "shingles")
-        return staged(found, "sets")
+        out = staged(found, "sets")
+        discard(reps)
+        return out
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The linked ones of ``pairs`` (a, b).  A class with many partners meets them in blocks of about ``PARTNERS``."""
@@ -292,14 +296,17 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Only rows that a bounded Bloom filter can't clear are shuffled.  Rows travel as one
     struct, so their columns may have any names.
     """
-    rows = NearDuplicates(docs, k, percent).members().where("cls is not null")
+    near = NearDuplicates(docs, k, percent)
+    rows = near.members().where("cls is not null")
     each = staged(rows.groupBy("doc_id", "h", "root").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "documents")
+    discard(near.rows, near.classes, near.links)
     kept = each.where("kept")
     first = kept.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("first"))
     kept = kept.join(first, "root").withColumn("stays", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))).drop("first")
     marks = kept.unionByName(each.where("not kept").withColumn("stays", F.lit(False))).where("not stays or n > 1")
     marks = marks.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"))
     marks = staged(marks.select("doc_id", "h", "stays", F.xxhash64("doc_id", "h").alias("key")), "marks")
+    discard(each)
     n = bloom.blocks_for(marks.count())
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))

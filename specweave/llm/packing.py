@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +73,26 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Sequences in one Parquet folder for each length; batches drawn from a folder need no padding."""
+    """Sequences (with ids) in one Parquet folder for each length; batches drawn from a folder need no padding."""
     pieces.write.partitionBy("length").parquet(path)
 
 
+def batches(spark: SparkSession, path: str, size: int) -> Iterator[list[list[int]]]:
+    """Batches of ``size`` sequences of one length, bucket by bucket; the last of a bucket may be smaller.
+
+    Rows stream to the caller, a partition at a time.
+    """
+    buckets = spark.read.parquet(path)
+    for (length,) in sorted(buckets.select("length").distinct().collect()):  # a power of two each
+        batch = []
+        for r in buckets.where(F.col("length") == length).select("ids").toLocalIterator():
+            batch.append(r["ids"])
+            if len(batch) == size:
+                yield batch
+                batch = []
+        if batch:
+            yield batch
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), ids=False)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, chunks, text_bytes, tidy, words_of
-from .common import held_out, staged, table
+from .common import filter_texts, held_out, staged, table
 
 FEATURES = ("word_bytes", "upper", "digits", "stops", "symbols", "new_lines", "repeats", "variety", "wide")
 
@@ -191,11 +191,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("quality in (0, 1)")
     model = Discriminant.fit(moments(feature_table(docs).where("not held_out").join(known, "doc_id").select("quality", "x")))
 
-    def run(batches):
+    def judge(batches):
         for batch in batches:
-            yield batch.filter(pa.array(model.score(text_features(batch.column("text"))) >= least))
+            yield model.score(text_features(batch.column("text"))) >= least
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return filter_texts(docs, judge)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,10 @@ def members(stream, read_bytes: int = READ_BYTES) -> Iterator[Iterator[bytes]]:
                 if not data and not piece:
                     raise ValueError("the archive ends within a gzip member")
 
-        yield pieces(rest)
+        own = pieces(rest)
+        yield own
+        for _ in own:  # what the caller left
+            pass
 
 
 def _take(pieces: Iterator[bytes], have: bytearray, until: bytes) -> bytes:
@@ -191,7 +194,7 @@ class _Digests:
         size = _ALGORITHMS.get(name.strip().lower())
         self.value = value.strip()
         self.hash = hashlib.new(name.strip().lower().replace("-", "")) if size else None
-        self.sixteen = bool(size) and len(self.value) == 2 * size
+        self.sixteen = bool(size) and len(self.value.rstrip("=")) == 2 * size
 
     def update(self, data: bytes) -> None:
         if self.hash:
