@@ -31,8 +31,10 @@ def is_id(c: Column) -> Column:
 
 def parse_id(c: Column) -> Column:
     """struct(type, group, name, revision); null for other texts, group null where absent."""
-    part = lambda i: F.regexp_extract(c, _whole(ID), i)
-    return F.when(is_id(c), F.struct(part(1).alias("type"), F.nullif(part(2), F.lit("")).alias("group"), part(3).alias("name"), part(4).alias("revision")))
+    path = path_of(c)
+    name = F.substring_index(path, "/", -1)
+    group = F.when(F.contains(path, F.lit("/")), F.left(path, F.length(path) - F.length(name) - 1))
+    return F.when(is_id(c), F.struct(F.substring_index(c, ":", 1).alias("type"), group.alias("group"), name.alias("name"), revision_of(c).alias("revision")))
 
 
 def make_id(kind: Column, group: Column, name: Column, revision: Column) -> Column:
@@ -41,7 +43,7 @@ def make_id(kind: Column, group: Column, name: Column, revision: Column) -> Colu
 
 def key_of(c: Column) -> Column:
     """What stands before the last ``#``."""
-    return F.regexp_extract(c, r"(?s)\A(.*)#", 1)
+    return F.left(c, F.length(c) - F.length(revision_of(c)) - 1)
 
 
 def revision_of(c: Column) -> Column:
@@ -49,11 +51,13 @@ def revision_of(c: Column) -> Column:
 
 
 def path_of(c: Column) -> Column:
-    return F.regexp_extract(c, r"(?s)\A[^:]*:(.*)#", 1)
+    """What stands between the first ``:`` and the last ``#``."""
+    return F.substr(key_of(c), F.instr(c, ":") + 1)
 
 
 def canonical_layer(c: Column) -> Column:
-    return F.when(c == "", F.lit("0")).otherwise(F.regexp_replace(c, r"^0+(?=.)", ""))
+    stripped = F.ltrim(c, F.lit("0"))
+    return F.when(stripped == "", F.lit("0")).otherwise(stripped)
 
 
 def layers(revision: Column) -> Column:
@@ -76,7 +80,7 @@ def revision_order(revision: Column) -> Column:
 
 
 def is_wildcard(revision: Column) -> Column:
-    return revision.rlike("[x*]")
+    return F.contains(revision, F.lit("x")) | F.contains(revision, F.lit("*"))
 
 
 def pattern_level(revision: Column) -> Column:
