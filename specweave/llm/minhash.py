@@ -6,7 +6,8 @@ by 1, 2, ... K positions (Li and Li, "C-MinHash").  Bands of coordinates give
 candidate pairs; a pair is linked only by exact Jaccard on full shingle sets.
 
 Equal sets are folded into one class first, so copies cost nothing later.  In
-a bucket all classes are compared with the least one (a star, not all pairs).
+a bucket all classes are compared with the one that meets the most others in all
+buckets (a star, not all pairs): it stands near the middle of its group and links most of it.
 Where that leaves a bucket in several components, its classes go through an
 exact prefix and positional join that finds every link between different
 components; links inside a component can't change the result.
@@ -36,8 +37,8 @@ from .components import connected_components
 COORDINATES = 256
 #: Largest chance that a pair at the threshold shares no band.
 MISS = 5e-5
-#: Partners of one class that are compared with it in one task.
-PARTNERS = 64
+#: Tasks that the partners of one class are dealt to, and partners of one task at most, about.
+BLOCKS, PARTNERS = 16, 20_000
 
 
 def banding(threshold: float, coordinates: int = COORDINATES, miss: float = MISS) -> tuple[int, int]:
@@ -217,8 +218,13 @@ class NearDuplicates:
 
     def _all_links(self) -> DataFrame:
         members = self.classes.select("c", F.explode("keys").alias("key"))
-        pivots = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("pivot")).where("m > 1").select("key", "pivot")
-        shared = staged(members.join(pivots, "key"), "buckets")
+        sizes = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        met = staged(members.join(sizes, "key"), "buckets")
+        # the class that meets the most others stands nearest to the middle of its group and links most of it
+        weighed = met.join(met.groupBy("c").agg(F.sum("m").alias("met")), "c")
+        pivots = weighed.groupBy("key").agg(F.max(F.struct("met", "c"))["c"].alias("pivot"))
+        shared = staged(met.select("key", "c").join(pivots, "key"), "pivots")
+        discard(met)
         star = staged(shared.where("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct(), "star")
         sets = self._sets_of(star.select(F.col("a").alias("c")).union(star.select("b")).distinct())
         links = staged(self._verified(star, sets), "links")
@@ -229,8 +235,9 @@ class NearDuplicates:
         several = left.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         open_ = left.join(several, "key").select("c", "n", "root").distinct()
         pairs, used = self._across(open_, sets)
-        out = staged(links.unionByName(self._verified(pairs.join(star, ["a", "b"], "left_anti"), sets)), "links")
-        discard(shared, star, sets, links, left, *used)
+        pairs = staged(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        out = staged(links.unionByName(self._verified(pairs, sets)), "links")
+        discard(shared, star, sets, links, left, pairs, *used)
         return out
 
     def _across(self, open_: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -263,11 +270,14 @@ class NearDuplicates:
         return out
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The linked ones of ``pairs`` (a, b).  A class with many partners meets them in blocks of about ``PARTNERS``."""
-        many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
-        dealt = pairs.join(many, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select("a", "b", "block")
-        firsts = many.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        firsts = firsts.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
+        """The linked ones of ``pairs`` (a, b), a staged table.
+
+        The partners of a class are dealt to ``BLOCKS`` tasks, or as many more as leave it
+        ``PARTNERS`` a task if all pairs were its own.
+        """
+        blocks = max(BLOCKS, -(-pairs.count() // PARTNERS))
+        dealt = pairs.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
+        firsts = dealt.select("a", "block").distinct().join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
         with_b = dealt.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
         return overlap_table(with_b.join(firsts, ["a", "block"])).where(_linked(self.percent)).select("a", "b").distinct()
 
