@@ -30,7 +30,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded size, so that a worker's memory doesn't follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
