@@ -83,6 +83,7 @@ def parse_args(argv: list[str]) -> Options:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     """0 clean, 1 with defects or problems, 2 for usage and read errors."""
+    from .operators.extract import ReadError
     from .sources.tree import MissingPath
 
     try:
@@ -98,7 +99,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = spark or SparkSession.builder.appName("specweave").getOrCreate()
         files = files_frame(spark, opts.paths)
         report = Report(trace_of(files, opts.tags))
-    except (UsageError, MissingPath) as e:
+    except (UsageError, MissingPath, ReadError) as e:
         print(f"error: {e}\n\n{HELP}", file=sys.stderr)
         return 2
     sys.stdout.write(report.json(__version__) if opts.format == "json" else report.text(opts.verbose, use_colour()))

@@ -68,12 +68,12 @@ class Report:
             covers = [{"ref": ref, "status": "orphaned" if ("orphaned-cover", ref) in bad else "unwanted" if ("unwanted-cover", ref) in bad else "valid"} for ref, _ in r["covers"]]
             defects = []
             for d in r["defects"]:
-                one = {"kind": d["kind"], "ref": d["ref"], "message": d["message"]}
+                one = {"kind": d["kind"], "ref": d["ref"]}
                 if d["location"]:
                     one["location"] = d["location"]
                 if d["existing_revisions"]:
                     one["existingRevisions"] = d["existing_revisions"]
-                defects.append(one)
+                defects.append(one | {"message": d["message"]})
             return {
                 "id": r["id"], "title": r["title"], "origin": r["origin"], "tags": r["tags"], "location": self._at(r), "status": r["status"], "defective": r["defective"], "deepCovered": r["deep_covered"],
                 "needs": needs, "covers": covers, "forwardsTo": self.effective.get(r["canonical_id"], (None,))[0], "forwardedFrom": [link(x) for x in sorted(into.get(r["canonical_id"], []), key=place)],
@@ -94,20 +94,21 @@ class Report:
     def text(self, verbose: bool = False, colour: bool = False) -> str:
         paint = (lambda code, x: f"\x1b[{code}m{x}\x1b[0m") if colour else (lambda code, x: x)
         at = lambda r: paint(2, f"{r['file']}:{r['line']}")
-        title = lambda r: f' "{r["title"]}"' if r["title"] is not None else ""
-        good, bad = paint(32, "✔"), paint(31, "✘")
-        mark = lambda r: bad if r["defective"] else good if r["deep_covered"] else paint(33, "~")
-        defects = lambda r: [f"    • {d['message']}" + (f"  {at(d['location'])}" if d["location"] else "") for d in r["defects"]]
+        dim, bold = (lambda x: paint(2, x)), (lambda x: paint(1, x))
+        title = lambda r: " " + dim(f'"{r["title"]}"') if r["title"] is not None else ""
+        looks = {"defective": (31, "✘"), "shallow-covered": (33, "~"), "deep-covered": (32, "✔")}
+        mark = lambda r: paint(*looks[r["status"]])
+        defects = lambda r: [f"    {paint(31, '•')} {d['message']}" + (f"  {at(d['location'])}" if d["location"] else "") for d in r["defects"]]
         out: list[str] = []
 
-        def edge(word: str, ref: str, canonical: str | None, wild: bool = False) -> str:
+        def edge(word: str, ref: str, canonical: str | None, own_mark: bool = True, arrow: bool = False) -> str:
+            """A line for the first item of a canonical ID: its own mark where the edge asks for coverage."""
             group = self.by_canonical.get(canonical or "")
             if not group:
-                return f"    {word}{ref}  {bad} missing"
+                return f"    {word} {ref}  {paint(31, '✘ missing')}"
             one = group[0]
-            fine = any(x["deep_covered"] for x in group)
-            arrow = f" (→ {one['id']})" if one["id"] != ref else ""
-            return f"    {word}{ref}{arrow}  {good if fine or not wild else bad} {at(one)}"
+            shown = " " + dim(f"(→ {one['id']})") if arrow and one["id"] != ref else ""
+            return f"    {word} {ref}{shown}  {mark(one) if own_mark else paint(32, '✔')} {at(one)}"
 
         if verbose:
             file = None
@@ -115,23 +116,22 @@ class Report:
                 if file not in (None, r["file"]):
                     out.append("")
                 file = r["file"]
-                out.append(f"{mark(r)} {r['id']}{title(r)}  {at(r)}  [{r['status']}]")
+                out.append(f"{mark(r)} {bold(r['id'])}{title(r)}  {at(r)}  {paint(looks[r['status']][0], '[' + r['status'] + ']')}")
                 if r["canonical_id"] in self.effective:
-                    to, c_to = self.effective[r["canonical_id"]]
-                    out.append(edge("→ ", to, c_to, True))
-                elif r["origin"] == "spec" or r["needs"]:
-                    for ref, found in r["needs"] if r["origin"] == "spec" else ():
-                        first = lambda c: self.by_canonical[c][0]["item_seq"]
-                        out += [edge("needs ", ref, c, True) for c in sorted(found, key=first)] or [edge("needs ", ref, None)]
-                out += [edge("covers ", ref, c) for ref, c in r["covers"]]
-                out += [f"    wanted by {x['id']}  {at(x)}" for x in r["wanted_by"]]
+                    out.append(edge(paint(36, "→"), *self.effective[r["canonical_id"]]))
+                elif r["origin"] == "spec":
+                    first = lambda c: self.by_canonical[c][0]["item_seq"]
+                    for ref, found in r["needs"]:
+                        out += [edge(dim("needs"), ref, c, arrow=True) for c in sorted(found, key=first)] or [edge(dim("needs"), ref, None)]
+                out += [edge(dim("covers"), ref, c, own_mark=False) for ref, c in r["covers"]]
+                out += [f"    {dim('wanted by')} {x['id']}  {at(x)}" for x in r["wanted_by"]]
                 out += defects(r)
             if self.items:
                 out.append("")
         else:
             for r in self.items:
                 if r["defective"]:
-                    out += [f"{bad} {r['id']}{title(r)}  {at(r)}", *defects(r), ""]
+                    out += [f"{mark(r)} {bold(r['id'])}{title(r)}  {at(r)}", *defects(r), ""]
         out += [f"{paint(33, '⚠')} {p['message']}  {at(p['location'])}" for p in self.problems]
         if self.problems:
             out.append("")

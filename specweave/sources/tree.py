@@ -82,19 +82,41 @@ def _rules_in(folder: str) -> list[list[_Rules]]:
     return out
 
 
-def _ignored(path: str, is_dir: bool, levels: list[list[list[_Rules]]]) -> bool:
+def _global_rules(cwd: str) -> list[_Rules]:
+    """The user's git excludes, for paths below ``cwd``: the file that the git configuration names, else the usual place."""
+    home, named = Path.home(), None
+    config = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config")
+    for file in (home / ".gitconfig", config / "git" / "config"):
+        try:
+            found = re.search(r"(?im)^[ \t]*excludesfile[ \t]*=[ \t]*\"?([^\"\n]+?)\"?[ \t]*$", file.read_text(errors="replace"))
+        except OSError:
+            continue
+        if found and named is None:
+            named = Path(found[1]).expanduser()
+    try:
+        return [_Rules(cwd, (named or config / "git" / "ignore").read_text(errors="replace"))]
+    except OSError:
+        return []
+
+
+def _ignored(path: str, is_dir: bool, levels: list[list[list[_Rules]]], last: list[_Rules]) -> bool:
     for kind in range(3):  # .ignore before .gitignore before the repository's excludes
         for level in reversed(levels):  # the nearest folder first
             for rules in level[kind]:
                 found = rules.verdict(path, is_dir)
                 if found is not None:
                     return found
+    for rules in last:
+        found = rules.verdict(path, is_dir)
+        if found is not None:
+            return found
     return False
 
 
 def collect_files(paths: list[str], cwd: str | None = None) -> list[str]:
     """All supported files below ``paths``, each once, in code-point order of their absolute paths."""
     wanted, found = SPEC_EXTENSIONS | CODE_EXTENSIONS, set()
+    everywhere = _global_rules(absolute(".", cwd))
     for raw in paths or ["."]:
         root = absolute(raw, cwd)
         if not os.path.lexists(root):
@@ -115,7 +137,7 @@ def collect_files(paths: list[str], cwd: str | None = None) -> list[str]:
                 continue
             for e in entries:
                 is_dir = e.is_dir(follow_symlinks=False)
-                if e.is_symlink() or (is_dir and e.name in PRUNED) or _ignored(e.path, is_dir, levels):
+                if e.is_symlink() or (is_dir and e.name in PRUNED) or _ignored(e.path, is_dir, levels, everywhere):
                     continue
                 if is_dir:
                     stack.append((e.path, levels))
