@@ -48,6 +48,7 @@ SLOTS = 1 << BITS
 RANK = 64
 OVERSAMPLE = 8
 SAMPLE = 1500
+FIT_TASKS = 3
 WINDOW = 32
 COSINE = 0.45
 #: Least share of an item's TF-IDF weight in a window that is verified.
@@ -376,7 +377,9 @@ def fit_space(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> Sp
     idf = word_frequencies(own)
     n = max(1, own.count())
     picked = own.where((F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))) < min(1.0, sample / n)).distinct()
-    fit_on = staged(picked.unionByName(benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")), "passages")
+    items = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    # every task of the fit gives a table of all slots, so its tasks are few
+    fit_on = staged(picked.unionByName(items).repartition(FIT_TASKS + items.count() // 50_000), "passages")
     return Space(idf, *randomised_svd(fit_on, idf))
 
 
