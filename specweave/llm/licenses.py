@@ -4,8 +4,7 @@ Base labels are phrases whose words stand consecutively.  The method's labels
 come from an exact set-similarity join of text blocks with license templates: a
 block meets a template if it holds at least the threshold's share of its
 distinct words.  Blocks are the lines and, for notices wrapped over lines, all
-windows of as many consecutive words of the text as the template has
-(``OP7_SQL`` knows lines only).  Lines: words are ordered by how many documents hold them in
+windows of as many consecutive words of the text as the template has.  Lines: words are ordered by how many documents hold them in
 the whole table, rare ones first; a block that meets a template must hold one
 of the template's first ``size - needed + 1`` words (prefix filter), have
 ``needed`` words (length filter) and have enough words of the templates left
@@ -173,7 +172,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     phrases = ", ".join(f"('{p}', '{lab}', {len(p.split())})" for p, lab in PHRASES)
-    templates = ", ".join(f"('{lab}', list_distinct(string_split('{text}', ' ')))" for lab, text in TEMPLATES)
+    templates = ", ".join(f"('{lab}', list_distinct(string_split('{text}', ' ')), {len(text.split())})" for lab, text in TEMPLATES)
     norm = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
@@ -182,9 +181,13 @@ ph(phrase, label, m) AS (VALUES {phrases}),
 occ AS (SELECT k, label, i FROM w, ph, LATERAL (SELECT unnest(range(0, len(words) - m + 1)) AS i) r
        WHERE array_to_string(words[i + 1 : i + m], ' ') = phrase),
 b AS (SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM occ GROUP BY k),
-tm(label, tw) AS (VALUES {templates}),
+tm(label, tw, size) AS (VALUES {templates}),
 l AS (SELECT k, list_distinct(string_split({norm.format('line')}, ' ')) AS lw FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)),
-m AS (SELECT k, label, len(list_intersect(lw, tw)) AS inter, len(tw) AS n FROM l, tm WHERE len(list_intersect(lw, tw)) >= ceil({THRESHOLD} * len(tw))),
+lm AS (SELECT k, label, len(list_intersect(lw, tw)) AS inter, len(tw) AS n FROM l, tm WHERE len(list_intersect(lw, tw)) >= ceil({THRESHOLD} * len(tw))),
+c AS (SELECT k, words, label, tw, size FROM w JOIN d USING (k, doc_id), tm WHERE contains(text, chr(10)) AND len(list_intersect(words, tw)) >= ceil({THRESHOLD} * len(tw))),
+wm AS (SELECT k, label, len(list_intersect(words[i : i + size - 1], tw)) AS inter, len(tw) AS n
+       FROM c, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) r WHERE list_contains(tw, words[i])),
+m AS (SELECT * FROM lm UNION ALL SELECT * FROM wm WHERE inter >= ceil({THRESHOLD} * n)),
 s AS (SELECT k, max(inter / n) AS share FROM m GROUP BY k),
 a AS (SELECT k, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT k, label FROM occ UNION ALL SELECT k, label FROM m) GROUP BY k)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -254,6 +254,31 @@ def test_wrapped_notices(spark):
     assert got == {1: ("mit", 1.0), 2: ("gpl-3", 1.0), 3: ("bsd", 1.0), 4: ("mpl-2", 1.0), 5: ("", 0.0), 6: ("mit", 1.0)}
 
 
+def test_licenses_equal_their_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from specweave.llm import licenses
+
+    rng = np.random.default_rng(8)
+    notices = [t.split() for _, t in licenses.TEMPLATES]
+    rows = [(-1, None), (-2, ""), (-3, "\n"), (-4, "...\n\nthe")]
+    for k in range(200):
+        # a notice with some words lost, repeated or moved, wrapped anywhere, between others' words
+        words = [w for w in notices[k % len(notices)] for _ in range(rng.choice(3, p=[0.12, 0.8, 0.08]))]
+        i, j = rng.integers(0, len(words), 2) if words else (0, 0)
+        words = rng.choice(["the", "x", "license", "under"], rng.integers(0, 6)).tolist() + words[: max(i, j)] + ["y"] * int(rng.integers(0, 4)) + words[max(i, j) :] + ["of", "this"]
+        rows.append((k, "".join(w + rng.choice([" ", "\n", ", ", "\r\n"], p=[0.7, 0.15, 0.1, 0.05]) for w in words)))
+    frame = docs(spark, rows)
+    documents = pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())})
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        wanted = sorted(db.sql(licenses.OP7_SQL).fetchall())
+    got = sorted(tuple(r) for r in licenses.scan(frame).collect())
+    assert got == wanted
+    assert 20 < sum(r[6] != "" for r in got) < 200
+
+
 def test_all_items_teach_the_latent_space(spark):
     from specweave.llm import decontaminate
 
