@@ -77,9 +77,8 @@ class Trace:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """(canonical_id, key, n, first_seq, shown) of each canonical ID; shown is the spelling its items share, else the canonical one."""
-        shown = F.when(F.min("id") == F.max("id"), F.min("id")).otherwise(F.col("canonical_id"))
-        return staged(self.own.groupBy("canonical_id", "key").agg(F.count("*").alias("n"), F.min("item_seq").alias("first_seq"), shown.alias("shown")), "nodes")
+        """(canonical_id, key, n) of each canonical ID; a count needs no sort, as the least of texts would."""
+        return staged(self.own.groupBy("canonical_id").agg(F.count("*").alias("n")).withColumn("key", ids.key_of(F.col("canonical_id"))), "nodes")
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -204,16 +203,22 @@ class Trace:
 
     # ---- defects
 
-    def _defect(self, df: DataFrame, kind: str, message: Column, ord_: Column, ref: Column, location: Column | None = None, existing: Column | None = None) -> DataFrame:
+    def _defect(self, df: DataFrame, kind: str | None, message: Column, ord_: Column, ref: Column, location: Column | None = None, existing: Column | None = None) -> DataFrame:
+        """Rows of one kind, or of the kind that each row of ``df`` names."""
         none = "struct<file:string,line:int,character:int>"
+        own = F.lit(kind) if kind else F.col("kind")
+        phase = F.lit(PHASES[kind]) if kind else F.coalesce(*(F.when(own == k, F.lit(p)) for k, p in PHASES.items()))
         return df.select(
-            "item_seq", F.lit(PHASES[kind]).alias("phase"), ord_.cast("long").alias("ord"), F.lit(kind).alias("kind"), ref.alias("ref"), message.alias("message"),
+            "item_seq", phase.alias("phase"), ord_.cast("long").alias("ord"), own.alias("kind"), ref.alias("ref"), message.alias("message"),
             (F.lit(None).cast(none) if location is None else location.cast(none)).alias("location"), (F.lit(None).cast("array<string>") if existing is None else existing).alias("existing_revisions"),
         )
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        rows = self.own.select("item_seq", "canonical_id").join(self.nodes.where("n > 1").select("canonical_id", "n", "shown"), "canonical_id")
+        """Items of one canonical ID; the message shows the spelling that all of them share, else the canonical one."""
+        rows = self.own.select("item_seq", "canonical_id", "id").join(self.nodes.where("n > 1").select("canonical_id", "n"), "canonical_id")
+        shown = F.when(F.min("id") == F.max("id"), F.min("id")).otherwise(F.col("canonical_id"))
+        rows = rows.select("item_seq", "canonical_id", "n").join(rows.groupBy("canonical_id").agg(shown.alias("shown")), "canonical_id")
         return self._defect(rows, "duplicate-id", F.concat(F.lit("duplicate: ID "), "shown", F.lit(" is defined "), "n", F.lit(" times")), F.lit(0), F.col("shown"))
 
     @cached_property
@@ -229,23 +234,35 @@ class Trace:
         text = F.concat(F.lit("cyclic: forwards to "), "to", F.lit(", closing the cycle "), "chain", F.lit(", so the forwarding has no effect"))
         return self._defect(rows, "cyclic-forwarding", text, F.lit(0), F.col("to"), F.col("at"))
 
+    def _lost_forwards(self) -> DataFrame:
+        ends = self.effective.join(self.nodes.select(F.col("canonical_id").alias("c_to")), "c_to", "left_anti").select(F.col("node").alias("canonical_id"), F.col("to").alias("ref"))
+        return self.own.select("item_seq", "canonical_id").join(ends, "canonical_id").withColumn("ord", F.lit(0))
+
+    def _lost_needs(self) -> DataFrame:
+        return self.needs.join(self.effective.select("node"), "node", "left_anti").join(self.resolved.select("item_seq", "ord").distinct(), ["item_seq", "ord"], "left_anti")
+
+    def _lost_covers(self) -> DataFrame:
+        return self.covers.join(self.nodes.select(F.col("canonical_id").alias("c_ref")), "c_ref", "left_anti")
+
+    def _lost(self, *kinds: str) -> DataFrame:
+        """Forwards, needs and covers of what doesn't exist; the revisions that there are instead are looked up once for all ``kinds``."""
+        rows = {"uncovered-forward": self._lost_forwards, "uncovered-need": self._lost_needs, "orphaned-cover": self._lost_covers}
+        words = {"uncovered-forward": "uncovered: forwards to ", "uncovered-need": "uncovered: needs ", "orphaned-cover": "orphaned: covers "}
+        parts = [rows[k]().select("item_seq", F.col("ord").cast("long").alias("ord"), "ref", F.lit(k).alias("kind"), F.lit(words[k]).alias("words")) for k in kinds]
+        found = self._hinted(reduce(DataFrame.unionByName, parts))
+        return self._defect(found, None, F.concat("words", "ref", F.lit(", which does not exist"), "hint"), F.col("ord"), F.col("ref"), existing=F.col("existing"))
+
     @cached_property
     def uncovered_forwards(self) -> DataFrame:
-        lost = self.effective.join(self.nodes.select(F.col("canonical_id").alias("c_to")), "c_to", "left_anti").select(F.col("node").alias("canonical_id"), F.col("to").alias("ref"))
-        rows = self._hinted(self.own.select("item_seq", "canonical_id").join(lost, "canonical_id"))
-        return self._defect(rows, "uncovered-forward", F.concat(F.lit("uncovered: forwards to "), "ref", F.lit(", which does not exist"), "hint"), F.lit(0), F.col("ref"), existing=F.col("existing"))
+        return self._lost("uncovered-forward")
 
     @cached_property
     def uncovered_needs(self) -> DataFrame:
-        open_ = self.needs.join(self.effective.select("node"), "node", "left_anti").join(self.resolved.select("item_seq", "ord").distinct(), ["item_seq", "ord"], "left_anti")
-        rows = self._hinted(open_.drop("key"))
-        return self._defect(rows, "uncovered-need", F.concat(F.lit("uncovered: needs "), "ref", F.lit(", which does not exist"), "hint"), F.col("ord"), F.col("ref"), existing=F.col("existing"))
+        return self._lost("uncovered-need")
 
     @cached_property
     def orphaned_covers(self) -> DataFrame:
-        lost = self.covers.join(self.nodes.select(F.col("canonical_id").alias("c_ref")), "c_ref", "left_anti")
-        rows = self._hinted(lost)
-        return self._defect(rows, "orphaned-cover", F.concat(F.lit("orphaned: covers "), "ref", F.lit(", which does not exist"), "hint"), F.col("ord"), F.col("ref"), existing=F.col("existing"))
+        return self._lost("orphaned-cover")
 
     @cached_property
     def unwanted_covers(self) -> DataFrame:
@@ -262,7 +279,8 @@ class Trace:
 
     @cached_property
     def defects(self) -> DataFrame:
-        parts = [self.duplicates, self.duplicate_forwardings, self.cyclic, self.uncovered_forwards, self.uncovered_needs, self.orphaned_covers, self.unwanted_covers, self.unwanted_items]
+        lost = self._lost("uncovered-forward", "uncovered-need", "orphaned-cover")
+        parts = [self.duplicates, self.duplicate_forwardings, self.cyclic, lost, self.unwanted_covers, self.unwanted_items]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -65,3 +65,11 @@ def test_tree_to_report(spark, tmp_path, monkeypatch, capsys):
     }
     assert doc["items"][2]["needs"][0]["resolvedTo"] == ["impl:a#2.4"]
     assert "closing the cycle req:b#1 --> req:c#1 --> req:b#1" in str(doc)
+
+
+def test_public_names():
+    import specweave
+
+    assert all(getattr(specweave, name) for name in specweave.__all__)
+    with pytest.raises(AttributeError):
+        specweave.nothing
