@@ -3,8 +3,8 @@
 Texts and benchmark items are windows of words (runs of ASCII letters, digits
 and all non-ASCII characters, lower-cased) in a hashed TF-IDF space; document
 frequencies are counted over all documents.  A distributed randomised SVD of
-the items and a bounded sample of passages (about ``SAMPLE`` distinct texts, picked by a
-hash; every passage is searched) gives a latent space.  Each word has a latent
+the passages of all texts and of all items, which weigh as much together as the texts'
+passages do (more, if they are more), gives a latent space.  Each word has a latent
 vector, so the vector of any window is a difference of running sums, and every
 window of a document meets the items by cosine, in blocks.  Besides, windows around
 runs of ``SHORT`` words of an item (of all its words, if they are fewer) are
@@ -19,7 +19,8 @@ item's last sentence.
 One pass over the documents serves any number of items: executors write the items, equal ones
 once, as blocks of about ``ITEM_BLOCK`` in the shared folder, and a task reads them in turn,
 holding ``HELD_BLOCKS``.  What is broadcast is the latent space, 2**BITS x RANK numbers at most.
-Texts are searched in stretches of ``STRETCH`` words.  No texts are shuffled but the sample.
+Texts are searched in stretches of ``STRETCH`` words.  No texts are shuffled; the fit stages two bytes
+a word and sends a table of all slots from each of its tasks, whose number follows the cores.
 
 Defined cases: null and empty texts leak nothing; items that are null or
 without words match nothing; items of fewer than five words match only where
@@ -47,9 +48,11 @@ BITS = 15
 SLOTS = 1 << BITS
 RANK = 64
 OVERSAMPLE = 8
-SAMPLE = 1500
-FIT_TASKS = 3
 WINDOW = 32
+#: Passages that meet the space at a time.
+PASSAGES = 4096
+#: Slots whose sums travel together.
+BLOCK = 1 << 10
 COSINE = 0.45
 #: Least share of an item's TF-IDF weight in a window that is verified.
 LEXICAL = 0.35
@@ -83,92 +86,146 @@ def text_words(text: str | None) -> np.ndarray:
     return Words(body, np.array([0, len(body)]), ALPHANUMERIC).hash
 
 
-def word_frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of all slots, counted over all of ``docs`` (text)."""
+def word_slots(texts: DataFrame) -> DataFrame:
+    """(slots, size) of ``texts`` (text), staged: one row a run of texts, the slots of their words and each text's number of them."""
 
     def run(batches):
-        total = np.zeros(SLOTS + 1, np.int64)
         for batch in batches:
             body, offsets = text_bytes(batch.column("text"))
+            slots, size = [], []
             for lo, hi in chunks(offsets):
                 w = words_of(body, offsets, lo, hi, ALPHANUMERIC)
-                total[SLOTS] += hi - lo
-                slots = slots_of(w.hash)
-                for i in range(hi - lo):
-                    own = slots[w.at[i] : w.at[i + 1]]
-                    seen = np.zeros(SLOTS, bool) if len(own) > 4096 else None
-                    if seen is None:
-                        total[np.unique(own)] += 1
-                    else:
-                        seen[own] = True
-                        total[:SLOTS] += seen
+                slots.append(slots_of(w.hash).astype("<u2").tobytes())
+                size.append(np.diff(w.at).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (slots, size)], ["slots", "size"])
+
+    return staged(texts.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "slots binary, size binary"), "slots")
+
+
+def _runs(batches):
+    """(slots, size, weight) of each row of ``word_slots``."""
+    for batch in batches:
+        weights = batch.column("weight").to_pylist() if "weight" in batch.schema.names else [1.0] * len(batch)
+        for slots, size, weight in zip(batch.column("slots"), batch.column("size"), weights):
+            yield np.frombuffer(slots.as_py(), "<u2").astype(np.int32), np.frombuffer(size.as_py(), "<i8"), weight
+
+
+def word_frequencies(words: DataFrame, width: int = WINDOW) -> tuple[np.ndarray, int]:
+    """(inverse document frequencies of all slots, number of passages), counted over all of ``words`` (``word_slots``)."""
+
+    def run(batches):
+        total = np.zeros(SLOTS + 2, np.int64)
+        for slots, size, _ in _runs(batches):
+            total[SLOTS] += len(size)
+            total[SLOTS + 1] += int((-(-size // width)).sum())
+            total[:SLOTS] += np.bincount(np.unique(np.repeat(np.arange(len(size)), size) << BITS | slots) & SLOTS - 1, minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(SLOTS + 1)
+    got = words.mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(SLOTS + 2)
     n[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return np.log((1.0 + n[SLOTS]) / (1.0 + n[:SLOTS])) + 0.1
+    return np.log((1.0 + n[SLOTS]) / (1.0 + n[:SLOTS])) + 0.1, int(n[SLOTS + 1])
 
 
-def _passages(batches, idf, width: int):
-    """Sparse unit rows (slots, weights) of consecutive windows of all texts."""
-    for batch in batches:
-        body, offsets = text_bytes(batch.column("text"))
-        for lo, hi in chunks(offsets):
-            w = words_of(body, offsets, lo, hi, ALPHANUMERIC)
-            for i in range(hi - lo):
-                own = slots_of(w.hash[w.at[i] : w.at[i + 1]])
-                for a in range(0, len(own), width):
-                    at, n = np.unique(own[a : a + width], return_counts=True)
-                    x = n * idf[at]
-                    yield at, x / max(np.sqrt((x * x).sum()), 1e-9)
-
-
-def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(Y'Y, A'Y) of the passages A and Y = A ``test``: each task adds up its own, sums are added by slot."""
+def _passages(slots: np.ndarray, size: np.ndarray, idf: np.ndarray, width: int):
+    """(passage of each word, slot of each word, one over the length of each passage's row) of consecutive windows of all texts, in blocks."""
+    count = -(-size // width)
+    n = int(count.sum())
+    first = np.cumsum(count) - count
+    passage = np.repeat((first * width - np.cumsum(size) + size).astype(np.int32), size)
+    passage += np.arange(len(slots), dtype=np.int32)
+    passage //= width
+    many = -(-n // max(1, -(-n // PASSAGES)))
+    for lo in range(0, n, max(1, many)):
+        a, b = np.searchsorted(passage, (lo, lo + many))
+        row, slot = passage[a:b] - lo, slots[a:b]
+        key, times = np.unique(row.astype(np.int64) << BITS | slot, return_counts=True)
+        yield row, slot, 1.0 / np.sqrt(np.bincount(key >> BITS, (times * idf[key & SLOTS - 1]) ** 2))
+
+
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """Adds the rows ``of`` of ``rows`` to those of ``out`` that the ascending ``at`` names."""
+    for lo in range(0, len(at), 1024):
+        own = at[lo : lo + 1024]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] += np.add.reduceat(rows[of[lo : lo + 1024]], first, axis=0)
+
+
+def _sketch(words: DataFrame, idf: np.ndarray, test: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(Y'Y, A'Y) of the passages A and Y = A ``test``: each task adds up its own, sums are added by blocks of slots.
+
+    Slots that are frequent in a block of passages meet as a dense matrix, the others row by row.
+    """
     l = test.shape[1]  # noqa: E741
-    shared = texts.sparkSession.sparkContext.broadcast((idf.astype(np.float32), test.astype(np.float32)))
-    cols = [f"c{j}" for j in range(l)]
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast((idf, (idf[:, None] * test).astype(np.float32)))
 
     def run(batches):
         idf, test = shared.value
         gram, back = np.zeros((l, l)), np.zeros((SLOTS, l))
-        for at, x in _passages(batches, idf, width):
-            y = x @ test[at]
-            gram += np.outer(y, y)
-            back[at] += x[:, None] * y
-        at = np.flatnonzero(back.any(axis=1))
-        keys = np.concatenate((at, -1 - np.arange(l)))
-        rows = np.concatenate((back[at], gram))
-        for lo in range(0, len(keys), 2048):
-            part = rows[lo : lo + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + 2048], pa.int64()), *(pa.array(part[:, j]) for j in range(l))], ["slot", *cols])
-
-    got = texts.mapInArrow(tidy(run), "slot long, " + ", ".join(f"{c} double" for c in cols)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
+        for slots, size, weight in _runs(batches):
+            for row, slot, scale in _passages(slots, size, idf, width):
+                n, scale = len(scale), (weight * scale).astype(np.float32)[:, None]
+                often = np.flatnonzero(np.bincount(slot, minlength=SLOTS) > n // 32)
+                column = np.full(SLOTS, -1)
+                column[often] = np.arange(len(often))
+                own = column[slot]
+                dense = np.bincount(row[own >= 0] * len(often) + own[own >= 0], minlength=n * len(often)).reshape(n, len(often)).astype(np.float32)
+                row, slot = row[own < 0], slot[own < 0]
+                y = dense @ test[often]
+                _add_rows(y, row, test, slot)
+                y *= scale
+                gram += (wide := y.astype(np.float64)).T @ wide
+                y *= scale
+                back[often] += dense.T @ y
+                order = np.argsort(slot.astype(np.uint16), kind="stable")
+                _add_rows(back, slot[order], y, row[order])
+        back *= idf[:, None]
+        for k in range(0, SLOTS, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([back[k : k + BLOCK].astype("<f4").tobytes()], pa.binary())], ["block", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([gram.astype("<f8").tobytes()], pa.binary())], ["block", "sums"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, sums in zip(batch.column("block").to_pylist(), batch.column("sums")):
+                part = np.frombuffer(sums.as_py(), "<f4" if k >= 0 else "<f8")
+                total[k] = total[k] + part if k in total else part.astype(np.float64)
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["block", "sums"])
+
+    # every task gives a table of all slots, so its tasks are few
+    few = words.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
+    schema = "block int, sums binary"
+    got = few.mapInArrow(tidy(run), schema).repartition("block").mapInArrow(tidy(add), schema).toArrow()
     shared.destroy()
-    keys = got.column("slot").to_numpy()
-    rows = np.stack([got.column(c).to_numpy() for c in cols], axis=1) if len(keys) else np.zeros((0, l))
     gram, back = np.zeros((l, l)), np.zeros((SLOTS, l))
-    gram[-1 - keys[keys < 0]] = rows[keys < 0]
-    back[keys[keys >= 0]] = rows[keys >= 0]
+    for k, sums in zip(got.column("block").to_pylist(), got.column("sums")):
+        if k < 0:
+            gram[:] = np.frombuffer(sums.as_py(), "<f8").reshape(l, l)
+        else:
+            back[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(sums.as_py(), "<f8").reshape(-1, l)
     return gram, back
 
 
-def randomised_svd(texts: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1, width: int = WINDOW, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(singular values, right vectors) of the TF-IDF passages of ``texts`` (text), to about ``rank``.
+def randomised_svd(words: DataFrame, idf: np.ndarray, rank: int = RANK, power: int = 1, width: int = WINDOW, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(singular values, right vectors) of the TF-IDF passages of ``words`` (``word_slots`` and maybe a weight), to about ``rank``.
 
     Halko, Martinsson and Tropp's range finder with ``power`` power steps; Q stays
-    implicit: Q = Y R^-1 with R from the Cholesky factor of Y'Y, so B = R^-T Y'A.
+    implicit: Q = Y V L^-1/2 with Y'Y = V L V', so B = L^-1/2 V' Y'A.
     """
     test = np.random.default_rng(seed).standard_normal((SLOTS, rank + OVERSAMPLE))
     for _ in range(power):
-        _, back = _sketch(texts, idf, test, width)
+        _, back = _sketch(words, idf, test, width)
         test = np.linalg.qr(back)[0]
-    gram, back = _sketch(texts, idf, test, width)
-    # a wide eye keeps the factor regular when there are fewer passages than columns
-    root = np.linalg.cholesky(gram + 1e-10 * max(np.trace(gram), 1e-12) * np.eye(len(gram)))
-    b = np.linalg.solve(root, back.T)
+    gram, back = _sketch(words, idf, test, width)
+    # columns of no weight: there are fewer passages than columns
+    weight, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    some = weight > max(1e-10 * weight[-1], 1e-12)
+    if not some.any():
+        return np.zeros(0), np.zeros((SLOTS, 0))
+    b = (back @ (vectors[:, some] / np.sqrt(weight[some]))).T
     values, left = np.linalg.eigh(b @ b.T)
     values, left = np.sqrt(np.maximum(values[::-1][:rank], 0)), left[:, ::-1][:, :rank]
     good = values > 1e-6 * max(values[0], 1e-12)
@@ -219,9 +276,22 @@ class Space:
 
     def __init__(self, idf: np.ndarray, values: np.ndarray, right: np.ndarray):
         self.idf = np.append(idf, 0.0).astype(np.float32)
-        self.words = np.zeros((max(1, len(values)), SLOTS + 1), np.float32)
+        #: a row for each slot, so that a word's vector is one stretch of memory
+        self.rows = np.zeros((SLOTS + 1, max(1, len(values))), np.float32)
         if len(values):
-            self.words[:, :SLOTS] = (idf[:, None] * right / np.maximum(values, 1e-9)).T
+            self.rows[:SLOTS] = idf[:, None] * right / np.maximum(values, 1e-9)
+
+
+def running_sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each place, from none to all: within blocks of 64 side by side, then over the blocks."""
+    n, wide = rows.shape
+    out = np.zeros((-(-(n + 1) // 64) * 64, wide))
+    out[1 : n + 1] = rows
+    blocks = out.reshape(-1, 64, wide)
+    for j in range(1, 64):
+        blocks[:, j] += blocks[:, j - 1]
+    blocks[1:] += np.cumsum(blocks[:-1, -1], axis=0)[:, None]
+    return out[: n + 1]
 
 
 class LatentIndex:
@@ -240,10 +310,10 @@ class LatentIndex:
         self.weight = np.array([space.idf[slots_of(i.words)].sum() for i in self.items], np.float32)
         self.scales: list[tuple[int, np.ndarray, np.ndarray]] = []
         widths = np.array([max(4, 1 << round(float(np.log2(i.n)))) for i in self.items], int)
-        self.vectors = np.zeros((len(self.items), len(space.words)), np.float32)
+        self.vectors = np.zeros((len(self.items), space.rows.shape[1]), np.float32)
         for width in sorted(set(widths.tolist())):
             own = np.flatnonzero(widths == width)
-            x = np.array([space.words[:, slots_of(self.items[k].words)].sum(axis=1) for k in own])
+            x = np.array([space.rows[slots_of(self.items[k].words)].sum(axis=0) for k in own])
             self.vectors[own] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             self.scales.append((width, own))
 
@@ -281,7 +351,7 @@ class LatentIndex:
                 for e in range(lo[j], hi[j]):
                     k = int(items[e])
                     start = min(max(0, int(first[j] - at[t]) - int(places[e])), size - 1)
-                    x = self.space.words[:, slots_of(hashes[at[t] + start : at[t] + min(size, start + self.items[k].n)])].sum(axis=1)
+                    x = self.space.rows[slots_of(hashes[at[t] + start : at[t] + min(size, start + self.items[k].n)])].sum(axis=0)
                     yield t, k, start, self.items[k].n, float(self.vectors[k] @ x / max(float(np.linalg.norm(x)), 1e-9))
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray):
@@ -313,15 +383,16 @@ class LatentIndex:
     def _near(self, hashes: np.ndarray, at: np.ndarray):
         """Near: by cosine in the latent space, and then by the share of the item's
         TF-IDF weight that the window's words hold."""
-        idf, vectors = self.space.idf, self.space.words
+        idf, vectors = self.space.idf, self.space.rows
         size = np.diff(at)
         fours = -(-size // 4)
         base = np.concatenate(([0], np.cumsum(fours)))
         slots = np.full(4 * base[-1], SLOTS, np.int64)
         slots[np.arange(len(hashes)) + np.repeat(4 * base[:-1] - at[:-1], size)] = slots_of(hashes)
-        sums = vectors[:, slots].reshape(len(vectors), -1, 4).sum(axis=2)
-        total = np.zeros((len(vectors), base[-1] + 1))
-        np.cumsum(sums, axis=1, out=total[:, 1:])
+        sums = vectors[slots[0::4]]
+        for j in (1, 2, 3):
+            sums += vectors[slots[j::4]]
+        total = running_sums(sums)
         del sums
         for width, own in self.scales:
             step, wide = max(1, width // 16), width // 4
@@ -335,11 +406,11 @@ class LatentIndex:
             many = max(1, (1 << 19) // width)
             for lo in range(0, len(start), 4096):
                 part = slice(lo, lo + 4096)
-                x = (total[:, end[part]] - total[:, start[part]]).astype(np.float32)
-                x /= np.maximum(np.sqrt((x * x).sum(axis=0)), 1e-9)
+                x = (total[end[part]] - total[start[part]]).astype(np.float32)
+                x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
                 for b in range(0, len(own), 512):
-                    cosine = self.vectors[own[b : b + 512]] @ x
-                    k, i = np.nonzero(cosine >= self.cosine)
+                    cosine = self.vectors[own[b : b + 512]] @ x.T
+                    k, i = np.divmod(np.flatnonzero(cosine >= self.cosine), len(x))
                     for c in range(0, len(k), many):
                         kk, ii = k[c : c + many], i[c : c + many]
                         item, first = own[b + kk], start[lo + ii]
@@ -371,22 +442,23 @@ class LatentIndex:
                     break
 
 
-def fit_space(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> Space:
-    """The latent space of all items and a bounded sample of the distinct texts of ``docs``."""
+def fit_space(docs: DataFrame, benchmark: DataFrame, sample: int | None = None) -> Space:
+    """The latent space of all items and all texts of ``docs``, or of about ``sample`` distinct texts if asked for."""
     own = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    idf = word_frequencies(own)
-    n = max(1, own.count())
-    picked = own.where((F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))) < min(1.0, sample / n)).distinct()
-    items = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    # every task of the fit gives a table of all slots, so its tasks are few
-    fit_on = staged(picked.unionByName(items).repartition(FIT_TASKS + items.count() // 50_000), "passages")
+    words = word_slots(own)
+    items = word_slots(benchmark.where("text is not null"))
+    (idf, many), (_, few) = word_frequencies(words), word_frequencies(items)
+    if sample is not None:
+        words = word_slots(own.where((F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))) < min(1.0, sample / max(1, own.count()))).distinct())
+        _, many = word_frequencies(words)
+    fit_on = words.withColumn("weight", F.lit(1.0)).unionByName(items.withColumn("weight", F.lit(max(1.0, many / max(1, few)) ** 0.5)))
     return Space(idf, *randomised_svd(fit_on, idf))
 
 
 class Search:
     """The items of ``benchmark`` (item_id, text and maybe answer), ready to be searched for."""
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE, block: int = ITEM_BLOCK):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, sample: int | None = None, cosine: float = COSINE, block: int = ITEM_BLOCK):
         spark = docs.sparkSession
         answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
         self.listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
@@ -446,7 +518,7 @@ class Search:
         return {"folder": self.folder, "shared": self.shared, "paths": self.paths}
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int = SAMPLE, cosine: float = COSINE, block: int = ITEM_BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, sample: int | None = None, cosine: float = COSINE, block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, first_word, item_words, common_words, kind, cosine): one row for each document and item it leaks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, k long, first_word long, item_words long, common_words long, kind string, cosine double"

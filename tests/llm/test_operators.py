@@ -290,6 +290,32 @@ def test_all_items_teach_the_latent_space(spark):
     assert got == {(k, k) for k in range(40)}
 
 
+def test_all_passages_teach_the_latent_space(spark):
+    from specweave.llm import decontaminate
+
+    rng = np.random.default_rng(4)
+    prose = lambda most: " ".join(f"w{i}" for i in rng.integers(0, 40, int(rng.integers(1, most))))
+    texts, items = [prose(100) for _ in range(3000)] + ["", None], [prose(40) for _ in range(20)] + [None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    space = decontaminate.fit_space(docs(spark, list(enumerate(texts))), bench)
+
+    words = [decontaminate.slots_of(decontaminate.text_words(t)) for t in texts if t is not None]
+    n = np.bincount(np.concatenate([np.unique(w) for w in words]), minlength=decontaminate.SLOTS)
+    idf = np.log((1 + len(words)) / (1 + n)) + 0.1
+
+    def passages(words):
+        parts = [np.bincount(w[a : a + 32], minlength=decontaminate.SLOTS)[n > 0] * idf[n > 0] for w in words for a in range(0, len(w), 32)]
+        return np.array([p / np.linalg.norm(p) for p in parts])
+
+    own, other = passages(words), passages([decontaminate.slots_of(decontaminate.text_words(t)) for t in items if t is not None])
+    # fewer words than dimensions: the space is that of all passages, not near it
+    moments = own.T @ own + len(own) / len(other) * other.T @ other
+    want = idf[n > 0, None] * np.linalg.inv(moments) * idf[n > 0]
+    got = space.rows[: decontaminate.SLOTS][n > 0].astype(float)
+    assert got.shape[1] == (n > 0).sum() and np.allclose(space.idf[:-1], idf)
+    assert np.abs(got @ got.T - want).max() < 1e-3 * np.abs(want).max()
+
+
 def test_unlearned_languages_go(spark):
     import corpus_pipeline
 
