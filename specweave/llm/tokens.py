@@ -43,6 +43,17 @@ def _odd(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
 
+class Pieces(dict):
+    """Ids of pieces after a space; a piece that is missing is encoded as it is looked up."""
+
+    def __init__(self, piece):
+        self.piece = piece
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.piece(piece)
+        return ids
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers in bytes.
 
@@ -63,7 +74,7 @@ class Encoder:
         self.lead = whole(" a") != whole("a")
         self.lower = whole("A") == whole("a")
         self.space = _ALPHABET[32] if self.lead else ""
-        self.seen: dict[str, bytes] = {}
+        self.seen = Pieces(self._piece)
         self.kept = KEPT
         self.runs: dict[str, bytes] = {"": b""}
         self.line_end = array("I", whole("\n")).tobytes()
@@ -83,7 +94,7 @@ class Encoder:
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of a plain Latin word after ``lead``; None for other texts."""
-        if not word.isalpha() or max(word) >= "Ā":
+        if not word.isalpha() or not word.isascii() and max(word) >= "Ā":
             return None
         if self.lower:
             word = word.lower()
@@ -103,6 +114,11 @@ class Encoder:
         """Ids of a space and ``piece``, if that is words and trailing punctuation with single line ends between; else None."""
         if not self.direct:
             return None
+        if "\n" not in piece:
+            word = piece.rstrip(_MARKS)
+            # an entry of letters alone is what ``_word`` gives; other entries may be marks that join those after them
+            own = word.isascii() and word.isalpha() and self.seen.get(word) or self._word(word, self.space)
+            return None if own is None else own + self._marks(piece[len(word) :])
         ids, lead = b"", self.space
         for n, part in enumerate(piece.split("\n")):
             word = part.rstrip(_MARKS)
@@ -113,6 +129,11 @@ class Encoder:
             lead = ""
         return ids
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and ``piece``."""
+        ids = (self._word(piece, self.space) if piece.isalpha() else self._plain(piece)) if self.direct else None
+        return self._whole([" " + piece])[0] if ids is None else ids
+
     def _has_added(self, text: str) -> bool:
         low = text.lower()
         return any(t in low for t in self.added)
@@ -126,12 +147,11 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text is empty."""
         if len(self.seen) > self.kept:
-            self.seen = {}
-        seen = self.seen
+            self.seen.clear()
+        known = self.seen.__getitem__
         out: list[bytes] = [b""] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         alone: list[tuple[int, str]] = []
-        new: set[str] = set()
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -142,18 +162,8 @@ class Encoder:
             alone.append((i, first))
             if rest:
                 cut.append((i, rest))
-                new.update(set(rest).difference(seen))
-        hard = []
-        word, plain, space, direct = self._word, self._plain, self.space, self.direct
-        for piece in new:
-            ids = word(piece, space) if direct and piece.isalpha() else plain(piece)
-            if ids is None:
-                hard.append(piece)
-            else:
-                seen[piece] = ids
-        seen.update(zip(hard, self._whole([" " + p for p in hard])))
         for (i, _), ids in zip(alone, self._whole([t for _, t in alone])):
             out[i] = ids
         for i, rest in cut:
-            out[i] += b"".join(map(seen.__getitem__, rest))
+            out[i] += b"".join(map(known, rest))
         return out

@@ -211,6 +211,26 @@ def test_encoder_equals_library(name):
             assert e.batch([texts[i] for i in part]) == [want[i] for i in part]
 
 
+def test_known_words_are_not_encoded_again():
+    from tokenizers import Tokenizer
+
+    from specweave.llm.tokens import Encoder, default_path
+
+    path = default_path("word_bpe_49k.json")
+    coder, model, asked = Encoder(path), Tokenizer.from_file(path).model, []
+
+    class Counted:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    coder.model = Counted()
+    texts = ["a zorblatt stands", "a zorblatt, zorblatt. zorblatt; stands"]
+    want = [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [coder.batch([t])[0] for t in texts] == want
+    assert sum("zorblatt" in t for t in asked) == 1
+
+
 def test_other_operators_free_the_encoder():
     from pyspark import cloudpickle
 
