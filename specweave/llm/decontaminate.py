@@ -110,6 +110,14 @@ def _runs(batches):
             yield np.frombuffer(slots.as_py(), "<u2").astype(np.int32), np.frombuffer(size.as_py(), "<i8"), weight
 
 
+def _counted(rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs of a row and a slot as one number, how often each is there); ``rows`` ascend."""
+    few = not len(rows) or rows[-1] < 1 << 31 - BITS
+    key = np.sort(rows.astype(np.int32 if few else np.int64) << BITS | slots)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(first, append=len(key))
+
+
 def word_frequencies(words: DataFrame, width: int = WINDOW) -> tuple[np.ndarray, int]:
     """(inverse document frequencies of all slots, number of passages), counted over all of ``words`` (``word_slots``)."""
 
@@ -118,7 +126,7 @@ def word_frequencies(words: DataFrame, width: int = WINDOW) -> tuple[np.ndarray,
         for slots, size, _ in _runs(batches):
             total[SLOTS] += len(size)
             total[SLOTS + 1] += int((-(-size // width)).sum())
-            total[:SLOTS] += np.bincount(np.unique(np.repeat(np.arange(len(size)), size) << BITS | slots) & SLOTS - 1, minlength=SLOTS)
+            total[:SLOTS] += np.bincount(_counted(np.repeat(np.arange(len(size)), size), slots)[0] & SLOTS - 1, minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
@@ -140,7 +148,7 @@ def _passages(slots: np.ndarray, size: np.ndarray, idf: np.ndarray, width: int):
     for lo in range(0, n, max(1, many)):
         a, b = np.searchsorted(passage, (lo, lo + many))
         row, slot = passage[a:b] - lo, slots[a:b]
-        key, times = np.unique(row.astype(np.int64) << BITS | slot, return_counts=True)
+        key, times = _counted(row, slot)
         yield row, slot, 1.0 / np.sqrt(np.bincount(key >> BITS, (times * idf[key & SLOTS - 1]) ** 2))
 
 
